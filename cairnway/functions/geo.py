@@ -14,8 +14,10 @@ def great_circle_km(
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    a = F.greatest(F.lit(0.0), F.least(F.lit(1.0), a))
-    return F.lit(2.0 * radius) * F.atan2(F.sqrt(a), F.sqrt(1.0 - a))
+    # greatest and least skip NULL, so a missing coordinate has to be kept out of the clamp.
+    safe = F.greatest(F.lit(0.0), F.least(F.lit(1.0), a))
+    arc = F.lit(2.0 * radius) * F.atan2(F.sqrt(safe), F.sqrt(1.0 - safe))
+    return F.when(a.isNotNull(), arc)
 
 
 def flat_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -4,42 +4,52 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnway import lexicon as lx
 
+# Fixed patterns: a number, a trailing unit, and the dash of a range.
 _NUMBER = r"([-+]?\d+(?:\.\d+)?)"
+_UNIT = r"(mm|cm|ft|in|m|°)\s*$"
+_DASH = r"\s*[-–]\s*"
 
 
-def _unit(text: Column) -> Column:
-    return F.regexp_extract(text, r"(mm|cm|ft|in|m|°)\s*$", 1)
+def _number(part: Column) -> Column:
+    return F.nullif(F.regexp_extract(part, _NUMBER, 1), F.lit("")).cast("double")
 
 
-def _middle(text: Column) -> Column:
-    """The number, or the mean of a simple ``a-b`` range; NULL when there is none."""
-    body = F.trim(F.regexp_replace(text, r"(mm|cm|ft|in|m|°)\s*$", ""))
-    sides = F.split(body, r"\s*[-–]\s*", 2)
+def with_number(df: DataFrame, tag: str, number: str, unit: str) -> DataFrame:
+    """Adds the number of a measured tag, or the mean of a simple ``a-b`` range, and its unit.
 
-    def number(part: Column) -> Column:
-        return F.nullif(F.regexp_extract(part, _NUMBER, 1), F.lit("")).cast("double")
-
-    first = number(F.get(sides, F.lit(0)))
-    second = number(F.get(sides, F.lit(1)))
-    return F.when(first.isNotNull() & second.isNotNull(), (first + second) / 2.0).otherwise(
-        number(body)
+    Done in steps so that each regular expression runs once per row.
+    """
+    steps = df.withColumn("_text", F.lower(F.trim(F.col(tag))))
+    steps = steps.withColumns(
+        {
+            unit: F.regexp_extract("_text", _UNIT, 1),
+            "_body": F.trim(F.regexp_replace("_text", _UNIT, "")),
+        }
+    )
+    steps = steps.withColumn("_sides", F.split("_body", _DASH, 2))
+    steps = steps.withColumns(
+        {
+            "_first": _number(F.get("_sides", F.lit(0))),
+            "_second": _number(F.get("_sides", F.lit(1))),
+            "_whole": _number(F.col("_body")),
+        }
+    )
+    middle = F.coalesce((F.col("_first") + F.col("_second")) / 2.0, F.col("_whole"))
+    return steps.withColumn(number, middle).drop(
+        "_text", "_body", "_sides", "_first", "_second", "_whole"
     )
 
 
-def incline_pct(value: Column) -> Column:
-    text = F.lower(F.trim(value))
-    number = _middle(text)
-    return F.when(_unit(text) == "°", F.tan(number * (math.pi / 180.0)) * 100.0).otherwise(number)
+def incline_pct(number: Column, unit: Column) -> Column:
+    return F.when(unit == "°", F.tan(number * (math.pi / 180.0)) * 100.0).otherwise(number)
 
 
-def width_m(value: Column) -> Column:
-    text = F.lower(F.trim(value))
-    number, unit = _middle(text), _unit(text)
+def width_m(number: Column, unit: Column) -> Column:
     return (
         F.when(unit == "mm", number / 1000.0)
         .when(unit == "cm", number / 100.0)
@@ -67,9 +77,8 @@ def assisted_level(value: Column) -> Column:
     return F.when(text.isin("rope", "ropes"), "rope").otherwise(text)
 
 
-def incline_level(value: Column) -> Column:
+def incline_level(value: Column, number: Column) -> Column:
     text = F.nullif(F.lower(F.trim(value)), F.lit(""))
-    number = incline_pct(text)
     return (
         F.when(text.isNull(), lx.MISSING)
         .when(number > 0, "up")

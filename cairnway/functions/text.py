@@ -33,35 +33,61 @@ def _marked_letters() -> tuple[str, str]:
 _SPREAD = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "þ": "th", "ð": "d"}
 
 
-def fold(value: Column) -> Column:
-    """Lower case Latin text without marks, kept as one string with its spacing."""
+@functools.lru_cache(maxsize=None)
+def _fold_sql() -> str:
     marked, plain = _marked_letters()
-    out = F.translate(F.lower(value), marked, plain)
+    out = f"translate(lower({{}}), '{marked}', '{plain}')"
     for letter, replacement in _SPREAD.items():
-        out = F.replace(out, F.lit(letter), F.lit(replacement))
-    return F.regexp_replace(out, r"\p{M}+", "")
+        out = f"replace({out}, '{letter}', '{replacement}')"
+    return rf"regexp_replace({out}, r'\p{{{{M}}}}+', '')"
+
+
+def _key_sql() -> str:
+    folded = _fold_sql().replace("{}", "coalesce({}, '')", 1)
+    return rf"trim(regexp_replace(replace({folded}, '&', ' and '), r'[^\p{{{{L}}}}\p{{{{N}}}}_]+', ' '))"
 
 
-def squeeze(value: Column) -> Column:
-    return F.trim(F.regexp_replace(fold(value), r"\s+", " "))
+def fold_sql(value: str) -> str:
+    """SQL for lower case Latin text without marks; spacing is kept."""
+    return _fold_sql().format(value)
 
 
-def name_key(value: Column) -> Column:
-    """The comparison form of a name: folded, ``&`` spelled out, words one space apart.
+def key_sql(value: str) -> str:
+    """SQL for the comparison form of a name: folded, ``&`` spelled out, words one space apart.
 
-    Latin letters lose their marks; other scripts stay in their own script.
+    Latin letters lose their marks; other scripts stay in their own script. It is kept as text
+    so that one call builds the whole expression.
     """
-    spelled = F.replace(fold(F.coalesce(value, F.lit(""))), F.lit("&"), F.lit(" and "))
-    return F.trim(F.regexp_replace(spelled, r"[^\p{L}\p{N}_]+", " "))
+    return _key_sql().format(value)
 
 
-def tokens(key: Column, min_length: int = 2) -> Column:
-    """Distinct words of a comparison key, at least ``min_length`` letters long."""
-    return F.array_distinct(F.filter(F.split(key, " "), lambda t: F.length(t) >= min_length))
+def squeeze(value: str) -> Column:
+    return F.expr(squeeze_sql(value))
+
+
+def squeeze_sql(value: str) -> str:
+    return rf"trim(regexp_replace({fold_sql(value)}, r'\s+', ' '))"
+
+
+def name_key(column: str) -> Column:
+    return F.expr(key_sql(column))
+
+
+def quoted(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
 
 
 def listed(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr(f"array({quoted(values)})")
+
+
+def among(column: str, values: list[str]) -> Column:
+    return F.expr(f"{column} IN ({quoted(values)})")
+
+
+def tokens(key: Column, min_length: int = 2) -> Column:
+    """Distinct words of a comparison key, at least ``min_length`` letters long."""
+    return F.array_distinct(F.filter(F.split(key, " "), lambda t: F.length(t) >= min_length))
 
 
 def significant(token_array: Column) -> Column:
@@ -78,66 +104,46 @@ def phonetic_key(key: Column) -> Column:
     return out
 
 
-def ascii_words(value: Column) -> Column:
-    return F.regexp_extract_all(squeeze(value), F.lit(r"([a-z0-9]+)"), F.lit(1))
+def ascii_words(column: str) -> Column:
+    return F.regexp_extract_all(squeeze(column), F.lit(r"([a-z0-9]+)"), F.lit(1))
 
 
-def search_variants(value: Column) -> Column:
+def search_variants(column: str) -> Column:
     """Up to four spellings to search for, most specific first."""
-    all_words = ascii_words(value)
-    strong = F.filter(
-        all_words,
-        lambda w: ~w.isin(lx.GENERIC_TRAIL_WORDS + lx.SEARCH_STOPWORDS) & (F.length(w) >= 3),
-    )
+    all_words = ascii_words(column)
+    dropped = listed(lx.GENERIC_TRAIL_WORDS + lx.SEARCH_STOPWORDS)
+    strong = F.filter(all_words, lambda w: ~F.array_contains(dropped, w) & (F.length(w) >= 3))
     some = F.size(strong) >= 1
     options = F.array(
         F.array_join(all_words, " "),
         F.when(some, F.array_join(strong, " ")),
-        F.when(some, F.element_at(strong, 1)),
+        F.when(some, F.get(strong, F.lit(0))),
         F.when(F.size(strong) >= 2, F.array_join(F.slice(strong, 1, 2), " ")),
     )
     return F.array_distinct(F.filter(F.array_compact(options), lambda v: F.length(v) > 0))
 
 
-def names_a_place(token_array: Column) -> Column:
+def names_a_place(tokens_column: str) -> Column:
     """Does the token set hold a word that identifies a place?
 
     Decided in order: a destination word says yes, a facility word says no, an explicit route
     word next to a real word says yes, a road-like word says no, else any word that is neither
-    generic nor one letter off a generic word.
+    generic nor one letter longer than a generic word it holds.
     """
     bare_facility = [w for w in lx.FACILITY_WORDS if w not in set(lx.GENERIC_WAY_NAMES)]
     generic = sorted(set(lx.FACILITY_WORDS) | set(lx.GENERIC_WAY_NAMES))
-    by_length: dict[int, list[str]] = {}
-    for word in generic:
-        by_length.setdefault(len(word), []).append(word)
-
-    def road_like(t: Column) -> Column:
-        return t.rlike("^(" + "|".join(lx.ROAD_WORD_PREFIXES) + ")")
-
-    def near_generic(t: Column) -> Column:
-        # One letter longer than a generic word that it still contains.
-        out = F.lit(False)
-        for length, group in by_length.items():
-            edge = "|".join(group)
-            out = out | (
-                (F.length(t) == length + 1)
-                & t.rlike(f"^({edge})|({edge})$")
-            )
-        return out
-
-    real = F.exists(
-        token_array,
-        lambda t: (F.length(t) >= 4) & ~t.isin(generic) & ~road_like(t),
-    )
-    unfamiliar = F.exists(
-        token_array,
-        lambda t: (F.length(t) >= 3) & ~t.isin(generic) & ~near_generic(t),
-    )
-    return (
-        F.when(F.arrays_overlap(token_array, listed(lx.DESTINATION_NAME_WORDS)), True)
-        .when(F.arrays_overlap(token_array, listed(bare_facility)), False)
-        .when(F.arrays_overlap(token_array, listed(lx.EXPLICIT_ROUTE_WORDS)) & real, True)
-        .when(F.exists(token_array, road_like), False)
-        .otherwise(unfamiliar)
+    known = f"t IN ({quoted(generic)})"
+    road = f"t RLIKE '^({'|'.join(lx.ROAD_WORD_PREFIXES)})'"
+    near = []
+    for length in sorted({len(w) for w in generic}):
+        group = "|".join(w for w in generic if len(w) == length)
+        near.append(f"(length(t) = {length + 1} AND t RLIKE '^({group})|({group})$')")
+    a = tokens_column
+    return F.expr(
+        f"""CASE WHEN arrays_overlap({a}, array({quoted(lx.DESTINATION_NAME_WORDS)})) THEN true
+        WHEN arrays_overlap({a}, array({quoted(bare_facility)})) THEN false
+        WHEN arrays_overlap({a}, array({quoted(lx.EXPLICIT_ROUTE_WORDS)}))
+          AND exists({a}, t -> length(t) >= 4 AND NOT {known} AND NOT {road}) THEN true
+        WHEN exists({a}, t -> {road}) THEN false
+        ELSE exists({a}, t -> length(t) >= 3 AND NOT {known} AND NOT ({' OR '.join(near)})) END"""
     )

@@ -11,13 +11,13 @@ from cairnway.functions import geo, text
 BOX = ["west", "south", "east", "north"]
 
 
-def is_peak_kind(kind: Column) -> Column:
+def is_peak_kind(kind: str) -> Column:
     """A summit rather than an area: the marker may be any part of the kind."""
     key = text.name_key(kind)
     return F.coalesce(key.rlike("|".join(lx.PEAK_MARKERS)), F.lit(False))
 
 
-def names_one_trail(query: Column) -> Column:
+def names_one_trail(query: str) -> Column:
     """An explicit route word next to a word that is neither that nor generic."""
     words = text.tokens(text.name_key(query))
     rest = F.array_except(words, text.listed(lx.EXPLICIT_ROUTE_WORDS + lx.GENERIC_TRAIL_WORDS))
@@ -51,7 +51,7 @@ def search_boxes(places: DataFrame) -> tuple[DataFrame, DataFrame]:
     checked = given.withColumn("reason", problem)
     rejects = checked.where(F.col("reason").isNotNull()).select("place_id", "reason")
 
-    peak = is_peak_kind(F.col("place_kind"))
+    peak = is_peak_kind("place_kind")
     mid_lat, mid_lon = (s + n) / 2.0, (w + e) / 2.0
     least_km = F.when(peak, lx.PEAK_BOX_KM).otherwise(lx.MIN_BOX_KM)
     high = (n - s) * lx.BOX_KM_PER_DEGREE
@@ -62,7 +62,7 @@ def search_boxes(places: DataFrame) -> tuple[DataFrame, DataFrame]:
     radius = (
         F.when(peak, lx.PEAK_BOX_KM)
         .when(F.col("scope") == "area", lx.AREA_RADIUS_KM)
-        .when(names_one_trail(F.col("query")), lx.LOCAL_RADIUS_KM)
+        .when(names_one_trail("query"), lx.LOCAL_RADIUS_KM)
         .otherwise(lx.PLACE_RADIUS_KM)
     )
     grown = geo.box_around(mid_lat, mid_lon, least_km)
@@ -80,7 +80,7 @@ def search_boxes(places: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(asked_for, "expanded_requested_bbox")
         .when(peak, "peak_radius")
         .when(F.col("scope") == "area", "area_radius")
-        .when(names_one_trail(F.col("query")), "local_radius")
+        .when(names_one_trail("query"), "local_radius")
         .otherwise("place_association_radius")
     )
     boxes = checked.where(F.col("reason").isNull()).select(

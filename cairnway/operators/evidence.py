@@ -17,21 +17,19 @@ def score_ways(
     Every step is a projection, so the whole chain runs inside the scan's stage.
     """
     semantic = F.lit(0.0) if semantic is None else semantic
-    key = text.name_key
-    alias_values = F.array_compact(F.array(*[F.col(tag) for tag in lx.ALIAS_TAGS]))
+    every_name = f"array(name, {', '.join(lx.ALIAS_TAGS)})"
+    if place is not None:
+        ways = ways.withColumn("_asked", place)
     out = ways.withColumns(
         {
-            "_name": key(F.col("name")),
-            "_names": F.filter(
-                F.concat(
-                    F.array(key(F.col("name"))), F.transform(alias_values, lambda a: key(a))
-                ),
-                lambda n: n != "",
+            "_name": text.name_key("name"),
+            "_names": F.expr(
+                f"filter(transform({every_name}, n -> {text.key_sql('n')}), n -> n <> '')"
             ),
             "_semantic": semantic,
-            "_place": key(place) if place is not None else F.lit(""),
+            "_place": text.name_key("_asked") if place is not None else F.lit(""),
             **{
-                f"_{tag}": key(F.col(tag))
+                f"_{tag}": text.name_key(tag)
                 for tag in (
                     "route", "sac_scale", "trail_visibility", "foot", "footway_use", "highway",
                     "surface", "tracktype", "incline", "width", "sport", "access",
@@ -62,13 +60,13 @@ def score_ways(
                 )
                 == 0
             ),
-            "_places": text.names_a_place(c("_tokens")),
-            "_hiking_route": c("_route").isin(lx.HIKING_ROUTE_TYPES),
+            "_places": text.names_a_place("_tokens"),
+            "_hiking_route": text.among("_route", lx.HIKING_ROUTE_TYPES),
             "_designated": (c("_foot") == "designated")
-            & ~c("_surface").isin(lx.PAVED_SURFACES)
-            & ~c("_highway").isin(lx.URBAN_HIGHWAYS),
-            "_trail_sport": c("_sport").isin(lx.TRAIL_SPORTS),
-            "_capable": c("_highway").isin(lx.PATH_HIGHWAYS + lx.TRACK_HIGHWAYS),
+            & ~text.among("_surface", lx.PAVED_SURFACES)
+            & ~text.among("_highway", lx.URBAN_HIGHWAYS),
+            "_trail_sport": text.among("_sport", lx.TRAIL_SPORTS),
+            "_capable": text.among("_highway", lx.PATH_HIGHWAYS + lx.TRACK_HIGHWAYS),
             "_at_place": (c("_place") != "") & F.exists("_names", lambda n: n.contains(c("_place"))),
         }
     )
@@ -102,7 +100,7 @@ def score_ways(
         (some("_width"), 3.0, None),
         (c("_semantic") >= 90.0, 86.0, "strong semantic-to-OSM name match"),
         (c("_capable"), 48.0, None),
-        (~c("_capable") & c("_highway").isin(lx.NEUTRAL_HIGHWAYS), 20.0, None),
+        (~c("_capable") & text.among("_highway", lx.NEUTRAL_HIGHWAYS), 20.0, None),
     ]
     score = F.lit(0.0)
     for test, points, _ in signals:
@@ -136,7 +134,7 @@ def score_ways(
         )
         .when(length <= 0.0, "zero-length geometry")
         .when(
-            c("_name").isin(lx.GENERIC_WAY_NAMES) & (length < lx.GENERIC_NAME_LENGTH_KM),
+            text.among("_name", lx.GENERIC_WAY_NAMES) & (length < lx.GENERIC_NAME_LENGTH_KM),
             "generic path identity",
         )
         .when(
@@ -158,12 +156,12 @@ def score_ways(
             "religious site access without route evidence",
         )
         .when(
-            c("_footway_use").isin(lx.EXCLUDED_FOOTWAY_USES) & ~c("_metadata"),
+            text.among("_footway_use", lx.EXCLUDED_FOOTWAY_USES) & ~c("_metadata"),
             "ordinary urban footway use",
         )
         .when(c("_name").rlike(lx.DEAD_END_NAME), "name states the way is a dead end")
         .when(
-            c("_access").isin(lx.RESTRICTED_ACCESS) & ~(c("_hiking_route") | some("_sac_scale")),
+            text.among("_access", lx.RESTRICTED_ACCESS) & ~(c("_hiking_route") | some("_sac_scale")),
             "restricted access without explicit hiking route",
         )
     )
@@ -173,7 +171,7 @@ def score_ways(
         | some("_sac_scale") | some("_trail_visibility")
     )
     shaped = (
-        (some("_surface") & ~c("_surface").isin(lx.PAVED_SURFACES))
+        (some("_surface") & ~text.among("_surface", lx.PAVED_SURFACES))
         | some("_tracktype")
         | (some("_incline") & ~c("_incline").isin("0", "0%", "flat", "uphill", "downhill"))
         | (some("_width") & ~c("_width").isin("0", "0m"))
@@ -187,7 +185,7 @@ def score_ways(
         F.when(c("_reject").isNotNull(), "rejected")
         .when(strong, "strong")
         .when(length < lx.MIN_LOCAL_PATH_KM, "short")
-        .when(c("_surface").isin(lx.PAVED_SURFACES) & ~c("_durable"), "paved")
+        .when(text.among("_surface", lx.PAVED_SURFACES) & ~c("_durable"), "paved")
         .when(physical | (length >= lx.MIN_LOCAL_PATH_STRONG_KM), "weak")
         .when(c("_places") & shaped, "corroborated")
         .otherwise("nothing")
@@ -199,8 +197,7 @@ def score_ways(
     def single(reason: str) -> Column:
         return F.array(F.lit(reason))
 
-    scored = out.withColumns(
-        {
+    columns = {
             "accepted": c("_verdict").isin("strong", "weak", "corroborated"),
             "relevance_score": F.when(c("_verdict") == "rejected", 0.0)
             .when(c("_verdict").isin("weak", "corroborated"), lifted)
@@ -231,8 +228,11 @@ def score_ways(
             )
             .otherwise(single("insufficient hiking evidence")),
         }
-    )
-    return scored.drop(*[name for name in scored.columns if name.startswith("_")])
+    # A generator keeps later filters on the verdict above the chain: pushed below, a filter
+    # would repeat the whole chain inside itself.
+    verdicts = F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))
+    kept = [name for name in ways.columns if name not in columns and name != "_asked"]
+    return out.select(*kept, F.inline(verdicts))
 
 
 def peak_association(vertices: DataFrame, peaks: DataFrame, pairs: DataFrame) -> DataFrame:

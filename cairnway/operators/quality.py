@@ -103,22 +103,30 @@ def natural_holdout(rows: DataFrame, cells: DataFrame, cap: int) -> DataFrame:
 
 
 def normalise_tags(ways: DataFrame) -> DataFrame:
-    incline, width = measures.incline_pct(F.col("incline")), measures.width_m(F.col("width"))
+    """Clean category levels and measured numbers of every way, with missing flags."""
+    read = measures.with_number(ways, "incline", "_incline", "_incline_unit")
+    read = measures.with_number(read, "width", "_width", "_width_unit")
+    read = read.withColumns(
+        {
+            "incline_pct": measures.incline_pct(F.col("_incline"), F.col("_incline_unit")),
+            "width_m": measures.width_m(F.col("_width"), F.col("_width_unit")),
+        }
+    )
+    plain = {
+        c: measures.plain_level(F.col(c)) for c in ("highway", "surface", "smoothness", "tracktype")
+    }
     levels = {
-        "incline_direction": measures.incline_level(F.col("incline")),
+        "incline_direction": measures.incline_level(F.col("incline"), F.col("incline_pct")),
         "trail_visibility": measures.visibility_level(F.col("trail_visibility")),
         "assisted_trail": measures.assisted_level(F.col("assisted_trail")),
     }
-    plain = {
-        c: measures.plain_level(F.col(c)) for c in ("highway", "surface", "smoothness", "tracktype")
-    }
-    return ways.select(
+    return read.select(
         "feature_id",
         *[v.alias(k) for k, v in {**plain, **levels}.items()],
-        incline.alias("incline_pct"),
-        width.alias("width_m"),
-        F.when(incline.isNull(), 1.0).otherwise(0.0).alias("incline_numeric_missing"),
-        F.when(width.isNull(), 1.0).otherwise(0.0).alias("width_missing"),
+        "incline_pct",
+        "width_m",
+        F.when(F.col("incline_pct").isNull(), 1.0).otherwise(0.0).alias("incline_numeric_missing"),
+        F.when(F.col("width_m").isNull(), 1.0).otherwise(0.0).alias("width_missing"),
     )
 
 

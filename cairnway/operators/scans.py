@@ -141,11 +141,12 @@ def in_box(
 
 def aliases(tags: list[str], exclude_own_name: bool) -> Column:
     """Other names in tag order without repeats; ways leave out spellings of the name itself."""
-    values = F.array_compact(F.array(*[F.nullif(F.trim(F.col(t)), F.lit("")) for t in tags]))
+    given = ", ".join(f"nullif(trim({tag}), '')" for tag in tags)
+    values = f"array_compact(array({given}))"
     if exclude_own_name:
-        own = text.squeeze(F.coalesce(F.col("name"), F.lit("")))
-        values = F.filter(values, lambda v: text.squeeze(v) != own)
-    return F.array_distinct(values)
+        own = text.squeeze_sql("coalesce(name, '')")
+        values = f"filter({values}, v -> {text.squeeze_sql('v')} <> {own})"
+    return F.expr(f"array_distinct({values})")
 
 
 def members_from_json(payload: DataFrame) -> DataFrame:

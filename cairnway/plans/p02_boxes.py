@@ -140,7 +140,7 @@ def _resolve(t: Tables):
 
 
 def place_boxes(t: Tables):
-    return boxes.search_boxes(t.places())[0]
+    return t.once("boxes", lambda: boxes.search_boxes(t.places())[0])
 
 
 SIDES = ", ".join(f"round({c}, 9) AS {c}" for c in boxes.BOX)
@@ -215,7 +215,8 @@ def _dense(t: Tables):
 
 
 def scored_ways(t: Tables):
-    return evidence.score_ways(t.ways().withColumn("point_count", 2 + F.col("way_id") % 9))
+    counted = t.ways().withColumn("point_count", 2 + F.col("way_id") % 9)
+    return t.once("scored", lambda: evidence.score_ways(counted))
 
 
 @query("score_way_evidence", "SELECT way_id, accepted, relevance_score, evidence_class, reasons FROM v_evidence")
@@ -230,9 +231,11 @@ def _evidence(t: Tables):
 def _place_word(t: Tables):
     from cairnway.functions import text
 
-    names = F.array(*[text.name_key(F.col(c)) for c in ["name"] + lx.ALIAS_TAGS])
+    names = F.array(*[text.name_key(c) for c in ["name"] + lx.ALIAS_TAGS])
     tokens = text.tokens(F.array_join(names, " "))
-    return t.ways().select("way_id", text.names_a_place(tokens).alias("names_a_place"))
+    return t.ways().withColumn("tokens", tokens).select(
+        "way_id", text.names_a_place("tokens").alias("names_a_place")
+    )
 
 
 @query("peak_association", """SELECT place_id, feature_id, round(closest, 1) AS closest_approach_m,

@@ -219,3 +219,34 @@ def running_total(
         .withColumn(name, F.col("_inside") + F.col("_before"))
         .drop("_run", "_inside", "_before")
     )
+
+
+def running_max(
+    df: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    value: str,
+    name: str,
+    bound: int | None = None,
+) -> DataFrame:
+    """The greatest ``value`` of the rows before this one."""
+    before = (Window.unboundedPreceding, -1)
+    if narrow(df, keys, bound):
+        window = Window.partitionBy(*keys).orderBy(pos).rowsBetween(*before)
+        return df.withColumn(name, F.max(value).over(window))
+    size = F.lit(RUN_ROWS if bound is None else bound)
+    runs = df.withColumn("_run", F.floor((F.col(pos) - 1) / size))
+    earlier = Window.partitionBy(*keys).orderBy("_run").rowsBetween(*before)
+    offsets = (
+        runs.groupBy(*keys, "_run")
+        .agg(F.max(value).alias("_most"))
+        .withColumn("_before", F.max("_most").over(earlier))
+        .drop("_most")
+    )
+    inside = Window.partitionBy(*keys, "_run").orderBy(pos).rowsBetween(*before)
+    return (
+        runs.withColumn("_inside", F.max(value).over(inside))
+        .join(offsets, [*keys, "_run"])
+        .withColumn(name, F.greatest("_inside", "_before"))
+        .drop("_run", "_inside", "_before")
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,31 +22,48 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._built: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Plans are lazy values, so a part used twice in one query is described once."""
+        if name not in self._built:
+            self._built[name] = build()
+        return self._built[name]
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        return self.once(path, lambda: self.spark.read.parquet(path))
 
     def view(self, name: str) -> DataFrame:
-        sql = SHARED[name]
-        sources = {source: self.raw(source) for source in set(re.findall(r"\{(\w+)\}", sql))}
-        return self.spark.sql(sql, **sources)
+        def build() -> DataFrame:
+            sql = SHARED[name]
+            sources = {source: self.raw(source) for source in set(re.findall(r"\{(\w+)\}", sql))}
+            return self.spark.sql(sql, **sources)
+
+        return self.once(name, build)
 
     # -- lines -------------------------------------------------------------
 
     def vertices(self) -> DataFrame:
         """feature_id, part, pos (1-based inside the part), lon, lat, elevation_m."""
-        return skew.position(
-            self.view("v_points"), ["feature_id", "part"], [F.col(c) for c in LINE_ORDER], "pos"
-        ).select("feature_id", "part", "pos", "lon", "lat", "elevation_m")
+        return self.once(
+            "vertices",
+            lambda: skew.position(
+                self.view("v_points"), ["feature_id", "part"], [F.col(c) for c in LINE_ORDER], "pos"
+            ).select("feature_id", "part", "pos", "lon", "lat", "elevation_m"),
+        )
 
     def segments(self) -> DataFrame:
         """Consecutive vertices of a part; a gap between parts is never a segment."""
-        return skew.with_neighbours(
-            self.vertices(),
-            ["feature_id", "part"],
-            "pos",
-            following={"lon": "lon2", "lat": "lat2", "elevation_m": "elevation2"},
-        ).where(F.col("lon2").isNotNull())
+        return self.once(
+            "segments",
+            lambda: skew.with_neighbours(
+                self.vertices(),
+                ["feature_id", "part"],
+                "pos",
+                following={"lon": "lon2", "lat": "lat2", "elevation_m": "elevation2"},
+            ).where(F.col("lon2").isNotNull()),
+        )
 
     def measured_segments(self) -> DataFrame:
         return self.segments().withColumn(
@@ -60,7 +78,7 @@ class Tables:
         return self.view("v_ways").where(F.col("way_id") > 0)
 
     def keyed_ways(self) -> DataFrame:
-        return self.ways().withColumn("name_key", text.name_key(F.col("name")))
+        return self.ways().withColumn("name_key", text.name_key("name"))
 
     def relations(self) -> DataFrame:
         return self.view("v_relations").where(F.col("relation_id") > 0)

@@ -257,47 +257,69 @@ def along_share(
     )
     met = a.join(b, ["route_id", "cx", "cy"]).drop("cx", "cy").distinct()
     c = F.col
-    dx, dy = c("lon2") - c("lon"), c("lat2") - c("lat")
-    ex, ey = c("r_lon2") - c("r_lon"), c("r_lat2") - c("r_lat")
-    met = met.withColumns({"dx": dx, "dy": dy, "ex": ex, "ey": ey})
+    # In steps, so that each quantity is computed once per pair: the segment's direction, the
+    # route segment's direction, then the segment seen in the route segment's own axes.
     met = met.withColumns(
         {
-            "dd": c("dx") * c("dx") + c("dy") * c("dy"),
-            "len": F.sqrt(c("ex") * c("ex") + c("ey") * c("ey")),
+            "dx": c("lon2") - c("lon"), "dy": c("lat2") - c("lat"),
+            "ex": c("r_lon2") - c("r_lon"), "ey": c("r_lat2") - c("r_lat"),
+        }
+    )
+    met = met.withColumns(
+        {"dd": c("dx") * c("dx") + c("dy") * c("dy"), "len": F.hypot("ex", "ey")}
+    ).where(c("dd") > 0)
+    unit_x, unit_y = c("ex") / F.nullif("len", F.lit(0.0)), c("ey") / F.nullif("len", F.lit(0.0))
+    met = met.withColumns({"ux": unit_x, "uy": unit_y})
+    px, py = c("lon") - c("r_lon"), c("lat") - c("r_lat")
+    met = met.withColumns(
+        {
+            "at": px * c("ux") + py * c("uy"), "at_step": c("dx") * c("ux") + c("dy") * c("uy"),
+            "off": py * c("ux") - px * c("uy"), "off_step": c("dy") * c("ux") - c("dx") * c("uy"),
+            "from1": (px * c("dx") + py * c("dy")) / c("dd"),
+            "near1": (px * px + py * py - tolerance * tolerance) / c("dd"),
+            "from2": ((px - c("ex")) * c("dx") + (py - c("ey")) * c("dy")) / c("dd"),
+            "near2": ((px - c("ex")) * (px - c("ex")) + (py - c("ey")) * (py - c("ey")) - tolerance * tolerance)
+            / c("dd"),
+        }
+    )
+    met = met.withColumns(
+        {
+            "rest1": c("from1") * c("from1") - c("near1"),
+            "rest2": c("from2") * c("from2") - c("near2"),
         }
     )
 
-    def disc(x: Column, y: Column) -> tuple[Column, Column]:
-        fx, fy = c("lon") - x, c("lat") - y
-        half = (fx * c("dx") + fy * c("dy")) / c("dd")
-        rest = half * half - (fx * fx + fy * fy - tolerance * tolerance) / c("dd")
-        root = F.when(rest >= 0, F.sqrt(F.abs(rest)))
-        return -half - root, -half + root
-
-    def strip() -> tuple[Column, Column]:
-        ux, uy = c("ex") / c("len"), c("ey") / c("len")
-        px, py = c("lon") - c("r_lon"), c("lat") - c("r_lat")
-        lo, hi = F.lit(-1e18), F.lit(1e18)
-        for start, step, low, high in (
-            (px * ux + py * uy, c("dx") * ux + c("dy") * uy, F.lit(0.0), c("len")),
-            (py * ux - px * uy, c("dy") * ux - c("dx") * uy, F.lit(-tolerance), F.lit(tolerance)),
-        ):
-            moving = F.abs(step) > 1e-18
-            s, e = (low - start) / step, (high - start) / step
-            inside = start.between(low, high)
-            lo = F.greatest(lo, F.when(moving, F.least(s, e)).when(inside, F.lit(-1e18)).otherwise(F.lit(1e18)))
-            hi = F.least(hi, F.when(moving, F.greatest(s, e)).when(inside, F.lit(1e18)).otherwise(F.lit(-1e18)))
-        real = (c("len") > 0) & (lo <= hi)
-        return F.when(real, lo), F.when(real, hi)
-
-    spans = [disc(c("r_lon"), c("r_lat")), disc(c("r_lon2"), c("r_lat2")), strip()]
-    low = F.greatest(F.lit(0.0), F.least(*[s[0] for s in spans]))
-    high = F.least(F.lit(1.0), F.greatest(*[s[1] for s in spans]))
-    has = F.coalesce(*[s[0] for s in spans]).isNotNull()
+    def axis(start: str, step: str, low: Column, high: Column) -> tuple[Column, Column]:
+        moving = F.abs(c(step)) > 1e-18
+        s, e = (low - c(start)) / c(step), (high - c(start)) / c(step)
+        inside = c(start).between(low, high)
+        enter = F.when(moving, F.least(s, e)).when(inside, F.lit(-1e18)).otherwise(F.lit(1e18))
+        leave = F.when(moving, F.greatest(s, e)).when(inside, F.lit(1e18)).otherwise(F.lit(-1e18))
+        return enter, leave
+
+    along_in, along_out = axis("at", "at_step", F.lit(0.0), c("len"))
+    off_in, off_out = axis("off", "off_step", F.lit(-tolerance), F.lit(tolerance))
+    met = met.withColumns(
+        {
+            "s_in": F.when(c("len") > 0, F.greatest(along_in, off_in)),
+            "s_out": F.when(c("len") > 0, F.least(along_out, off_out)),
+            "root1": F.when(c("rest1") >= 0, F.sqrt(F.abs("rest1"))),
+            "root2": F.when(c("rest2") >= 0, F.sqrt(F.abs("rest2"))),
+        }
+    )
+    crossing = c("s_in") <= c("s_out")
+    low = F.least(F.when(crossing, c("s_in")), -c("from1") - c("root1"), -c("from2") - c("root2"))
+    high = F.greatest(F.when(crossing, c("s_out")), -c("from1") + c("root1"), -c("from2") + c("root2"))
+    # The generator keeps the filter on the span from being pushed into, and so repeated over,
+    # the arithmetic above.
+    span = F.array(F.struct(low.alias("l"), high.alias("h")))
     covered = (
-        met.where(c("dd") > 0)
-        .where(has)
-        .select("feature_id", "route_id", "part", "pos", low.alias("low"), high.alias("high"))
+        met.select("feature_id", "route_id", "part", "pos", F.inline(span))
+        .where(c("l").isNotNull())
+        .select(
+            "feature_id", "route_id", "part", "pos",
+            F.greatest(F.lit(0.0), "l").alias("low"), F.least(F.lit(1.0), "h").alias("high"),
+        )
         .where(c("low") < c("high"))
     )
     keys = ["feature_id", "route_id", "part", "pos"]
@@ -305,7 +327,7 @@ def along_share(
     placed = skew.running_max(placed, keys, "_n", "high", "_reached")
     fresh = F.greatest(F.lit(0.0), c("high") - F.greatest(c("low"), F.coalesce("_reached", F.lit(0.0))))
     parts = placed.groupBy(*keys).agg(F.sum(fresh).alias("part_share"))
-    sizes = lines.withColumn("deg", F.sqrt(dx * dx + dy * dy))
+    sizes = lines.withColumn("deg", F.hypot(c("lon2") - c("lon"), c("lat2") - c("lat")))
     total = sizes.groupBy("feature_id").agg(F.sum("deg").alias("total"))
     return (
         parts.join(sizes.select("feature_id", "part", "pos", "deg"), ["feature_id", "part", "pos"])
@@ -493,13 +515,18 @@ def continuity(pieces: DataFrame) -> DataFrame:
         .where(~alone)
         .where(geo.flat_km(c("lat"), c("lon"), c("o_lat"), c("o_lon")) <= lx.JOIN_TOLERANCE_KM)
     )
-    node = lambda p: F.struct(c("feature_id").alias("f"), c(p).alias("p"))
+
+    def node(piece: str) -> Column:
+        return F.concat_ws(":", "feature_id", piece)
+
     same_place = ends.join(places, ["feature_id", "lon", "lat"]).where(c("piece") != c("first"))
     edges = same_place.select(node("piece").alias("a"), node("first").alias("b")).unionByName(
         near.select(node("first").alias("a"), node("o_first").alias("b"))
     )
     labels = graph.components(edges, pieces.select(node("piece").alias("node"))).select(
-        c("node.f").alias("feature_id"), c("node.p").alias("piece"), c("component.p").alias("chain")
+        F.split("node", ":")[0].cast("long").alias("feature_id"),
+        F.split("node", ":")[1].cast("long").alias("piece"),
+        c("component").alias("chain"),
     )
     touching = (
         near.select("feature_id", "lon", "lat")

@@ -202,7 +202,10 @@ def _members(t: Tables):
 
 def route_segments(t: Tables):
     """Segments of every route relation, through its member ways."""
-    ways = t.members().where(F.col("member_type") == "W").select(F.col("relation_id").alias("route_id"), F.col("ref").alias("feature_id"))
+    routes = scans.route_relations(t.relations())
+    ways = t.members().where(F.col("member_type") == "W").join(routes, "relation_id", "left_semi").select(
+        F.col("relation_id").alias("route_id"), F.col("ref").alias("feature_id")
+    )
     return ways.join(t.segments(), "feature_id").drop("feature_id", "elevation_m", "elevation2")
 
 

@@ -155,6 +155,43 @@ FROM {{part}}""",
 SELECT page_id, page_id % 3 AS query_no, page_id AS rank, url,
        trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, html
 FROM {pages}""",
+    # One row per route with what the rule engines read: measured terrain, tags and weather.
+    "v_conditions": """
+SELECT o_orderkey AS feature_id,
+  CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice / 12000e0 END AS distance_km,
+  CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE (o_orderkey * 37 % 1500) * 1e0 END AS gain_m,
+  CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE (o_orderkey * 29 % 1400) * 1e0 END AS loss_m,
+  CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE (o_orderkey * 31 % 1300) * 1e0 END AS range_m,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE (o_orderkey * 17 % 600) / 10e0 END AS max_slope_pct,
+  CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE (o_orderkey * 71 % 4500) * 1e0 END AS max_elevation_m,
+  o_orderkey % 4 AS component_count,
+  CASE o_orderkey % 8 WHEN 0 THEN 'ground' WHEN 1 THEN 'asphalt' WHEN 2 THEN 'rock' WHEN 3 THEN 'woodchips' WHEN 4 THEN 'grass' END AS surface,
+  CASE CAST(floor(o_orderkey / 5) AS BIGINT) % 11 WHEN 0 THEN 'hiking' WHEN 1 THEN 'mountain_hiking' WHEN 2 THEN 'alpine_hiking' WHEN 3 THEN 'demanding_alpine_hiking'
+    WHEN 4 THEN 'difficult_alpine_hiking' WHEN 5 THEN 'strolling' END AS sac_scale,
+  CASE o_orderkey % 6 WHEN 0 THEN 'walking' WHEN 1 THEN 'mountain' WHEN 2 THEN 'alpine' END AS estimate_tier,
+  CASE o_orderkey % 23 WHEN 0 THEN 'yes' WHEN 1 THEN 'via_ferrata' WHEN 2 THEN 'no' END AS assisted_trail,
+  CASE WHEN o_orderkey % 41 = 0 THEN 'via_ferrata' ELSE 'path' END AS highway,
+  CASE o_orderkey % 3 WHEN 0 THEN 'separate_pieces' WHEN 1 THEN 'gaps' ELSE 'connected' END AS continuity,
+  CASE WHEN o_orderkey % 3 < 2 THEN (o_orderkey % 10) / 10e0 END AS main_chain_share,
+  o_orderkey % 12 <> 0 AS has_weather,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey * 7 % 300) / 10e0 END AS rain_24h,
+  (o_orderkey * 11 % 250) / 10e0 AS precip_24h,
+  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE (o_orderkey * 3 % 700) / 10e0 END AS rain_72h,
+  CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE (o_orderkey * 5 % 600) / 10e0 END AS precip_72h,
+  CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 0e0 ELSE (o_orderkey * 13 % 40) / 10e0 END AS precip_now,
+  CASE WHEN o_orderkey % 2 = 0 THEN 900e0 END AS precip_interval_s,
+  CASE WHEN o_orderkey % 14 = 0 THEN 1.5e0 WHEN o_orderkey % 15 = 0 THEN NULL ELSE 0e0 END AS snowfall,
+  CASE WHEN o_orderkey % 16 = 0 THEN NULL ELSE (o_orderkey * 19 % 500) / 10e0 - 15 END AS temperature,
+  CASE WHEN o_orderkey % 18 = 0 THEN NULL ELSE (o_orderkey * 23 % 800) / 10e0 END AS wind,
+  CASE WHEN o_orderkey % 9 = 1 THEN NULL ELSE (o_orderkey * 2 % 80) / 10e0 END AS forecast_rain,
+  CASE WHEN o_orderkey % 9 = 2 THEN NULL ELSE (o_orderkey % 101) * 1e0 END AS forecast_prob,
+  CASE o_orderkey % 12 WHEN 1 THEN 0 WHEN 2 THEN 45 WHEN 3 THEN 51 WHEN 4 THEN 63 WHEN 5 THEN 65 WHEN 6 THEN 73 WHEN 7 THEN 95 WHEN 8 THEN 3 WHEN 9 THEN 80 END AS weather_code,
+  CASE WHEN o_orderkey % 3 = 0 THEN 4e0 END AS window_hours,
+  CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey * 19 % 500) / 10e0 - 18 END AS window_cold,
+  CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey * 29 % 900) / 10e0 END AS window_wind,
+  CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey * 31 % 90) / 10e0 END AS window_peak_mm,
+  o_orderkey % 21 = 0 AS snow_likely
+FROM {orders}""",
     # Each document's lines are facts about one trail; user turns are questions.
     "v_questions": """
 SELECT conv_id, turn, text AS question FROM {conversations} WHERE role = 'user'""",

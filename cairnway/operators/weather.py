@@ -13,7 +13,7 @@ from cairnway import lexicon as lx
 
 
 def hour_number(ts: Column) -> Column:
-    return F.floor(F.unix_timestamp(ts) / 3600)
+    return F.timestamp_diff("HOUR", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
 def current_hour(current: DataFrame, hourly: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def current_hour(current: DataFrame, hourly: DataFrame) -> DataFrame:
         .join(
             exact,
             (current["point_id"] == exact["point_id"])
-            & (F.date_trunc("hour", current["observed_at"]) == exact["_hour"]),
+            & (F.date_trunc("hour", current["observed_at"]).cast("timestamp_ntz") == exact["_hour"]),
             "left",
         )
         .select(current["point_id"], "observed_at", F.coalesce("_hour", "_first").alias("hour"))

@@ -100,7 +100,8 @@ class Tables:
         return self.view("v_places")
 
     def hourly(self) -> DataFrame:
-        return self.view("v_hourly")
+        """Hourly readings; ``ts`` is local time without a zone."""
+        return self.view("v_hourly").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
     def sample(self) -> DataFrame:
         """Ways as the difficulty dataset sees them: tier, cell and raw tags."""

@@ -33,7 +33,7 @@ def current_hour(current: DataFrame, hourly: DataFrame) -> DataFrame:
     )
 
 
-def rolling_rain(hourly: DataFrame) -> DataFrame:
+def rolling_rain(hourly: DataFrame, digits: int = 2) -> DataFrame:
     """Sums of the last 24, 48 and 72 hours with the current one, and of the next 24 without it."""
     by_hour = Window.partitionBy("point_id").orderBy("_h")
     out = hourly.withColumn("_h", hour_number(F.col("ts")))
@@ -43,7 +43,7 @@ def rolling_rain(hourly: DataFrame) -> DataFrame:
             sums[f"{name}_{hours}h"] = F.sum(name).over(by_hour.rangeBetween(1 - hours, 0))
         sums[f"next_{name}_24h"] = F.sum(name).over(by_hour.rangeBetween(1, 24))
     sums["next_probability_max"] = F.max("probability").over(by_hour.rangeBetween(1, 24))
-    return out.select("point_id", "ts", *[F.round(v, 2).alias(k) for k, v in sums.items()])
+    return out.select("point_id", "ts", *[F.round(v, digits).alias(k) for k, v in sums.items()])
 
 
 def walking_hours(distance_km: Column, ascent_m: Column) -> Column:

@@ -46,7 +46,7 @@ def _shape(t: Tables):
 ORACLE_ONLY["v_measures"] = """
 SELECT p.*, m.lon AS middle_lon, m.lat AS middle_lat FROM (
   SELECT feature_id, sum(km) AS km, count(*) AS part_count, CAST(sum(points) AS BIGINT) AS point_count, min(west) AS west, min(south) AS south, max(east) AS east,
-    max(north) AS north, arg_max(part, km * 1e6 - part * 1e-6) AS main_part, max(km) AS main_km FROM (
+    max(north) AS north, first(part ORDER BY round(km, 9) DESC, part) AS main_part, max(km) AS main_km FROM (
     SELECT feature_id, part, sum(km) AS km, count(*) + 1 AS points, min(least(lon, lon2)) AS west, min(least(lat, lat2)) AS south,
       max(greatest(lon, lon2)) AS east, max(greatest(lat, lat2)) AS north FROM v_seg_km GROUP BY 1, 2) GROUP BY 1) p
 JOIN (SELECT feature_id, part, lon + (lon2 - lon) * (half - upto + km) / greatest(km, 1e-12) AS lon, lat + (lat2 - lat) * (half - upto + km) / greatest(km, 1e-12) AS lat FROM (

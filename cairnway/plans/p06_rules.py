@@ -48,10 +48,10 @@ def _next(fn: str, q: str) -> str:
 
 
 @query("rolling_rain", "SELECT point_id, ts, " + ", ".join(
-    f"round(sum({q}) OVER (PARTITION BY point_id ORDER BY ts RANGE BETWEEN INTERVAL '{frame}), 2) AS {name}" for name, (q, frame) in SPANS.items())
-    + f", round({_next('sum', 'precipitation')}, 2) AS next_precipitation_24h, round({_next('sum', 'rain')}, 2) AS next_rain_24h, round({_next('max', 'probability')}, 2) AS next_probability_max FROM v_hourly")
+    f"round(sum({q}) OVER (PARTITION BY point_id ORDER BY ts RANGE BETWEEN INTERVAL '{frame}), 4) AS {name}" for name, (q, frame) in SPANS.items())
+    + f", round({_next('sum', 'precipitation')}, 4) AS next_precipitation_24h, round({_next('sum', 'rain')}, 4) AS next_rain_24h, round({_next('max', 'probability')}, 4) AS next_probability_max FROM v_hourly")
 def _rolling(t: Tables):
-    return weather.rolling_rain(t.hourly())
+    return weather.rolling_rain(t.hourly(), digits=4)
 
 
 @query("walk_window", """SELECT feature_id, round(CASE WHEN km > 0 THEN greatest(1.0, least(24.0, km / 5.0 + coalesce(elevation_gain_m, 0) / 600.0)) END, 4) AS hours
@@ -165,9 +165,9 @@ FROM (SELECT *, coalesce(assisted_trail IN ('yes', 'via_ferrata'), false) OR hig
    CASE WHEN continuity = 'separate_pieces' AND main_chain_share IS NOT NULL THEN distance_km * main_chain_share ELSE distance_km END AS trip_km FROM v_suited)"""
 
 
-@query("classify_activity", "SELECT feature_id, activity, round(trip_km, 4) AS trip_km, assisted FROM v_active")
+@query("classify_activity", "SELECT feature_id, activity, round(trip_km, 10) AS trip_km, assisted FROM v_active")
 def _activity(t: Tables):
-    return rounded(rules.activity(t.view("v_conditions")).select("feature_id", "activity", "trip_km", "assisted"), "trip_km", digits=4)
+    return rounded(rules.activity(t.view("v_conditions")).select("feature_id", "activity", "trip_km", "assisted"), "trip_km", digits=10)
 
 
 @query("route_complexity", """SELECT feature_id, complexity, CASE WHEN complexity IS NULL THEN 'unavailable' WHEN complexity < 22 THEN 'low' WHEN complexity < 45 THEN 'moderate' WHEN complexity < 70 THEN 'substantial' ELSE 'demanding' END AS complexity_label

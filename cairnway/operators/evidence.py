@@ -17,15 +17,13 @@ def score_ways(
     Every step is a projection, so the whole chain runs inside the scan's stage.
     """
     semantic = F.lit(0.0) if semantic is None else semantic
-    every_name = f"array(name, {', '.join(lx.ALIAS_TAGS)})"
+    every_name = ", ".join(text.key_sql(tag) for tag in ["name", *lx.ALIAS_TAGS])
     if place is not None:
         ways = ways.withColumn("_asked", place)
     out = ways.withColumns(
         {
             "_name": text.name_key("name"),
-            "_names": F.expr(
-                f"filter(transform({every_name}, n -> {text.key_sql('n')}), n -> n <> '')"
-            ),
+            "_names": F.expr(f"array_distinct(filter(array({every_name}), n -> n <> ''))"),
             "_semantic": semantic,
             "_place": text.name_key("_asked") if place is not None else F.lit(""),
             **{

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnway.llm import exact_dedup, packing, sharding
+from cairnway.llm import bpe, exact_dedup, packing, sharding, token_files
+from cairnway.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Where the vocabulary files are; they are read by the driver and broadcast.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 SHARDS = 24
 MAX_LEN, BUCKETS, BUDGET = 2048, 16, 65536
 
@@ -30,6 +35,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    return Path(TOKENIZERS, name).read_text(encoding="utf-8")
+
+
+@query()
+def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all documents, written to seekable files and read back from them."""
+    manifest = token_files.write_token_files(
+        table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), scratch(spark, "token-files"), 2, pieces=True
+    )
+    return token_files.read_token_files(manifest).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
 _PART = "('0x' || substr(md5({key}), 1, 7))::BIGINT % 256"
 
 _SHARD_SQL = f"""
@@ -126,3 +146,13 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(
         table(spark, folder, "documents"), packing.words(F.col("text")), MAX_LEN, BUCKETS, BUDGET
     )
+
+
+@query()
+def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all documents by prefix-wise BPE, and the texts that the ids stand for."""
+    definition = vocabulary("byte_bpe_50k.json")
+    done = bpe.decode(bpe.encode(table(spark, folder, "documents"), definition), definition)
+    return done.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -71,7 +72,7 @@ class Bpe:
         self.lengths = np.fromiter(map(len, held), np.int64, top)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.data = np.frombuffer(b"".join(held), np.uint8)
-        self.words, self.pieces = Cache(400_000), Cache(300_000)
+        self.words, self.pieces = Cache(250_000), Cache(250_000)
 
     def _reached(self, token: int) -> bool:
         """Whether merging the token's own bytes ends in the token."""
@@ -110,8 +111,8 @@ class Bpe:
             known = self.pairs[key] = self._apart(a, b, 1 << 62)
         return known
 
-    def word(self, text: str) -> list[int]:
-        """Ids of one word.
+    def word(self, text: str) -> bytes:
+        """Ids of one word as 32-bit integers.
 
         The automaton names every token that ends at a place. Of these just one can be the
         last token of the prefix up to there: the one that fits the last token of the prefix
@@ -132,27 +133,25 @@ class Bpe:
             token = last[n]
             ids.append(token)
             n -= self.size[token]
-        return ids[::-1]
+        return array("I", ids[::-1]).tobytes()
 
-    def _words(self, words: list[str]) -> list[list[int]]:
+    def _words(self, words: list[str]) -> list[bytes]:
         return [self.word(w) for w in words]
 
-    def _piece(self, piece: str) -> np.ndarray:
-        found = self.words.all(WORDS.findall(piece), self._words)
-        return np.array([i for ids in found for i in ids], np.uint32)
+    def _piece(self, piece: str) -> bytes:
+        return b"".join(self.words.all(WORDS.findall(piece), self._words))
 
     def text(self, text: str) -> np.ndarray:
         """Ids of any text; special tokens in it stand for themselves."""
-        out: list[int] = []
+        out: list[bytes] = []
         for k, part in enumerate(self.split_special.split(text) if self.special else [text]):
             if k % 2:
-                out.append(self.special[part])
+                out.append(array("I", [self.special[part]]).tobytes())
             elif part:
                 words = WORDS.findall(part)
                 for i in range(0, len(words), 50_000):
-                    for ids in self.words.all(words[i : i + 50_000], self._words):
-                        out.extend(ids)
-        return np.array(out, np.uint32)
+                    out += self.words.all(words[i : i + 50_000], self._words)
+        return np.frombuffer(b"".join(out), np.uint32)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string array, and how many there are up to each text's end.

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into numpy arrays at a time; one longer text stands alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def own_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -100,10 +100,11 @@ class Pieces:
         self.ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64))
         self.starts = np.concatenate([[0], self.ends[:-1]]) if len(self.ends) else self.ends
 
-    def expand(self, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """All values in the order of the places, and how many there are up to each text's end."""
-        size = np.fromiter(map(len, values), np.int64, len(values))
-        pool = np.concatenate(values) if values else np.zeros(0, np.uint32)
+    def expand(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All values (32-bit integers) in the order of the places, and how many there are up to
+        each text's end."""
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        pool = np.frombuffer(b"".join(values), np.uint32)
         first = np.cumsum(size) - size
         each = size[self.index]
         ends = np.concatenate([[0], np.cumsum(each)])[self.ends]
@@ -127,6 +128,36 @@ class Cache:
         return [held[k] for k in keys]
 
 
+def whole_groups(
+    batches: Iterable[pa.RecordBatch], keys: list[str], rows: int, column: str | None = None, size: int = 0
+) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by ``keys``, about ``rows`` rows (or ``size``
+    bytes of a binary column) each; only a larger group makes a larger table."""
+    held: list[pa.RecordBatch] = []
+    count = weight = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        weight += int(column_bytes(batch.column(column))[1][-1]) if column else 0
+        if count < rows and (not column or weight < size):
+            continue
+        table = pa.Table.from_batches(held)
+        change = np.zeros(table.num_rows, bool)
+        for k in keys:
+            values = table.column(k).to_numpy()
+            change[1:] |= values[1:] != values[:-1]
+        marks = np.flatnonzero(change)
+        if len(marks):
+            yield table.slice(0, marks[-1])
+            held = table.slice(marks[-1]).combine_chunks().to_batches()
+            count = sum(b.num_rows for b in held)
+            weight = sum(int(column_bytes(b.column(column))[1][-1]) for b in held) if column else 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 #: Fixed random values of the 256 bytes and fixed odd factors of the rolling hashes.
 _RANDOM = np.random.default_rng(20240607)
 BYTE_VALUES = _RANDOM.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnway.llm import bpe, exact_dedup, packing, sharding, token_files
+from cairnway.llm import bpe, exact_dedup, ngram_join, packing, sharding, suffix_dedup, token_files
 from cairnway.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,73 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return done.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+_JOIN_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '(?:[0-9a-z]|[^\x00-\x7F])+') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN ['#' || doc_id] ELSE list_sort(list_distinct(list_transform(
+    range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' ')))) END AS s
+  FROM cut
+), classes AS (
+  SELECT s, min(doc_id) AS class_id, count(*) AS copies FROM sets GROUP BY s
+), grams AS (
+  SELECT class_id, len(s) AS n, unnest(s) AS g FROM classes
+), links AS (
+  SELECT a.class_id AS p, b.class_id AS q FROM grams a JOIN grams b ON a.g = b.g AND a.class_id <> b.class_id
+  GROUP BY a.class_id, b.class_id, a.n, b.n HAVING count(*) * 10 >= 8 * (a.n + b.n - count(*))
+), reach(a, b) AS (
+  SELECT class_id, class_id FROM classes UNION SELECT r.a, l.q FROM reach r JOIN links l ON l.p = r.b
+), groups AS (SELECT a AS class_id, min(b) AS group_id FROM reach GROUP BY a),
+counted AS (SELECT p AS class_id, count(*) AS n_links FROM links GROUP BY p)
+SELECT doc_id, class_id, copies, group_id, coalesce(n_links, 0) AS n_links
+FROM sets JOIN classes USING (s) JOIN groups USING (class_id) LEFT JOIN counted USING (class_id)
+"""
+
+
+@query(_JOIN_SQL)
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its class of equal five-word sets, its links of 0.8 and its group."""
+    return ngram_join.ngram_join(table(spark, folder, "documents"))
+
+
+_SUFFIX_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), starts AS (
+  SELECT doc_id, unnest(range(n - 399)) AS p FROM d WHERE n >= 400
+), named AS (
+  SELECT doc_id, p, md5(substr(x, 2 * p + 1, 800)) AS h FROM starts JOIN d USING (doc_id)
+), again AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY h) AS k FROM named) WHERE k > 1
+), marked AS (
+  SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 400, true) AS fresh FROM again
+), numbered AS (
+  SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked
+), runs AS (
+  SELECT doc_id, run, min(p) AS a, max(p) + 400 AS b FROM numbered GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, run, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS a, a AS b FROM runs
+  UNION ALL
+  SELECT doc_id, 1000000000, coalesce(max(b), 0), any_value(n) FROM d LEFT JOIN runs USING (doc_id) GROUP BY doc_id
+), rest AS (
+  SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY run) AS y FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+), sums AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(y, ''))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""
+
+
+@query(_SUFFIX_SQL)
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that stand more than once."""
+    done = suffix_dedup.suffix_dedup(table(spark, folder, "documents"))
+    lengths = F.transform("spans", lambda s: s["to"] - s["from"])
+    return done.select(
+        "doc_id", "n_bytes", F.aggregate(lengths, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )

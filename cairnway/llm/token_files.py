@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -123,7 +127,9 @@ class Encoder:
     """Ids of string arrays by the tokenizers library.
 
     With ``pieces``, for tokenizers that drop white space and never look across it, the
-    different pieces between single spaces are encoded once each.
+    different pieces between single spaces are encoded once each. Where the tokenizer lowers
+    letters and keeps what its pattern finds, a piece of Latin letters is first cut by that
+    pattern, so that the library meets each different word once.
     """
 
     def __init__(self, definition: str, pieces: bool):
@@ -134,23 +140,50 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 65_536
-        self.pieces, self.cache = pieces, Cache(300_000)
+        self.pieces, self.cache, self.words = pieces, Cache(500_000), Cache(500_000)
+        self.pattern = self._word_pattern(json.loads(definition)) if pieces else None
 
-    def library(self, texts: list[str]) -> list[np.ndarray]:
+    @staticmethod
+    def _word_pattern(spec: dict):
+        def parts(x, name):
+            return (x or {}).get(name) or ([x] if x else [])
+
+        lowers = any(n["type"] == "Lowercase" for n in parts(spec["normalizer"], "normalizers"))
+        for step in parts(spec["pre_tokenizer"], "pretokenizers"):
+            if lowers and step["type"] == "Split" and step["behavior"] == "Removed" and step["invert"]:
+                return regex.compile(step["pattern"]["Regex"])
+        return None
+
+    def library(self, texts: list[str]) -> list[bytes]:
         out = []
-        for i in range(0, len(texts), 20_000):
-            done = self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)
-            out += [np.array(e.ids, np.uint32) for e in done]
+        for i in range(0, len(texts), 10_000):
+            done = self.tokenizer.encode_batch_fast(texts[i : i + 10_000], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in done]
         return out
 
+    def by_words(self, pieces: list[str]) -> list[bytes]:
+        """Letters below U+0250 other than U+0130 have one lower case and stay as they are
+        under normalisation; a piece with others, or with a special token, goes as it is."""
+        plain = [bool(_LATIN.fullmatch(p)) and "<|" not in p for p in pieces]
+        cut_up = [self.pattern.findall(p.lower()) if ok else [p] for p, ok in zip(pieces, plain, strict=True)]
+        ids = iter(self.words.all([w for words in cut_up for w in words], lambda new: self._distinct(new)))
+        return [b"".join([next(ids) for _ in words]) for words in cut_up]
+
+    def _distinct(self, words: list[str]) -> list[bytes]:
+        known = dict.fromkeys(words)
+        known = dict(zip(known, self.library(list(known)), strict=True))
+        return [known[w] for w in words]
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.pieces:
             cut_up = Pieces(column)
-            return cut_up.expand(self.cache.all(cut_up.unique, self.library))
+            return cut_up.expand(self.cache.all(cut_up.unique, self.by_words if self.pattern else self.library))
         ids = self.library(pc.fill_null(column, "").to_pylist())
-        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.cumsum([len(x) for x in ids])
+        return np.frombuffer(b"".join(ids), np.uint32), np.cumsum([len(x) // 4 for x in ids])
 
 
+#: Printing characters and white space below U+0250.
+_LATIN = re.compile("[\\t\\n\\r\x20-\x7e\xa0-\u012f\u0131-\u024f]*")
 _LOADED: dict[tuple, Encoder] = {}
 
 

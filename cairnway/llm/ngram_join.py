@@ -98,7 +98,8 @@ def _sketched(words: int):
             tokens = sketches(owner, grams, len(n))
             sums = []
             for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-                terms = np.concatenate([[0], np.cumsum(mix(grams ^ np.uint64(salt)), dtype=np.uint64)]).astype(np.uint64)
+                terms = np.zeros(len(grams) + 1, np.uint64)
+                np.cumsum(mix(grams ^ np.uint64(salt)), out=terms[1:])
                 ends = np.cumsum(n)
                 sums.append((terms[ends] - terms[ends - n]).view(np.int64))
             yield pa.RecordBatch.from_arrays(

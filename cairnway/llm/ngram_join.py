@@ -262,7 +262,7 @@ def _near(threshold: float, measure: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = whole_groups(batches, ["node", "lo", "hi"], 4096, "grams" if measure else None, 8 << 20)
         for table in groups:
-            table = table.combine_chunks()
+            table = _once(table.combine_chunks())
             if measure:
                 yield _links(table, threshold)
             else:
@@ -274,6 +274,16 @@ def _near(threshold: float, measure: bool):
     return run
 
 
+def _once(table: pa.Table) -> pa.Table:
+    """Without repeats of a set in a unit: rows that agree in everything bring its text twice."""
+    again = np.ones(table.num_rows, bool)
+    for c in ("node", "lo", "hi", "cid"):
+        values = table.column(c).to_numpy()
+        again[1:] &= values[1:] == values[:-1]
+    again[:1] = False
+    return table.filter(pa.array(~again)).combine_chunks() if again.any() else table
+
+
 def _close_pairs(table: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of a table of whole units that may reach the threshold and meet here first."""
     column = {c: table.column(c).to_numpy() for c in ("node", "lo", "hi", "mine", "n", "cid")}

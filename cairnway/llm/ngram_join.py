@@ -144,8 +144,8 @@ def chosen_paths(sets: DataFrame, threshold: float, recall: float, picks: int, d
         leaves = done if leaves is None else leaves.unionByName(done)
         if last or held.where(F.col("size") > block).isEmpty():
             break
-        choice = F.explode(F.array(*[F.pmod(F.xxhash64("node", F.lit(t)), F.lit(TOKENS)) for t in range(picks)]))
-        wide = held.where(F.col("size") > block).select("node", "cid", choice.cast("int").alias("at")).distinct()
+        choice = F.explode(F.array(*[F.pmod(F.xxhash64("node", F.lit(t)), F.lit(TOKENS)).cast("int") for t in range(picks)]))
+        wide = held.where(F.col("size") > block).select("node", "cid", choice.alias("at")).distinct()
         level = wide.join(sets.select("cid", "sketch"), "cid").select(
             "cid", F.xxhash64("node", "at", token).alias("node")
         )

@@ -163,12 +163,13 @@ def ngram_join(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, class_id, copies, group_id, n_links) of every row.
+    """(doc_id, th, class_id, copies, group_id, n_links, kept) of every row.
 
     Texts with the same set of word n-grams are a class, named by its smallest id, with
     ``copies`` rows. Two classes are linked when the Jaccard similarity of their sets is at
     least ``threshold``. ``n_links`` counts a class's links, ``group_id`` is the smallest id
-    that links lead to.
+    that links lead to, and ``kept`` marks the row of that id (with the least hash ``th`` of
+    its text, where rows repeat an id).
 
     Buckets come from chosen paths over a sketch of each set, in as many runs as the target
     recall needs. Inside a bucket the sets are compared by brute force: sketches rule out
@@ -178,7 +179,7 @@ def ngram_join(
     near copies) is compared in blocks by many tasks.
 
     A text without words has no links and is a class of its own. A null id counts as the
-    smallest one and names no class with other ids. Repeated rows are copies. An empty
+    smallest one. Repeated rows are copies. An empty
     table gives no rows.
     """
     own = own_columns(docs, id_col, text_col).select(
@@ -231,15 +232,16 @@ def ngram_join(
     links = measured.groupBy("cid").agg(F.sum("links").alias("links"))
     edges = measured.select(F.col("cid").alias("a"), F.col("root").alias("b"))
     groups = components(edges, measured.select("cid").distinct(), "cid").join(classes.select("cid", "rep"), "cid")
-    first = groups.groupBy("component").agg(F.min("rep.doc_id").alias("group_id"))
+    first = groups.groupBy("component").agg(F.min("rep").alias("first"))
     found = groups.select("cid", "component").join(first, "component").join(links, "cid")
-    named = classes.select("cid", F.col("rep.doc_id").alias("class_id"), "copies").join(
-        found.select("cid", "group_id", "links"), "cid", "left"
+    named = classes.select("cid", "rep", "copies").join(found.select("cid", "first", "links"), "cid", "left").select(
+        "cid", "rep", "copies", F.coalesce("first", "rep").alias("first"), "links"
     )
-    return rows.select("doc_id", "cid").join(named, "cid").select(
-        "doc_id", "class_id", "copies",
-        F.coalesce("group_id", "class_id").alias("group_id"),
+    return rows.select("doc_id", "th", "cid").join(named, "cid").select(
+        "doc_id", "th", F.col("rep.doc_id").alias("class_id"), "copies",
+        F.col("first.doc_id").alias("group_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.struct("doc_id", "th").eqNullSafe(F.col("first")).alias("kept"),
     )
 
 

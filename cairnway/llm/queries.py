@@ -9,8 +9,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnway.llm import bpe, exact_dedup, ngram_join, packing, sharding, suffix_dedup, token_files
-from cairnway.session import scratch
+from cairnway.llm import (
+    bpe, exact_dedup, fingerprints, language, ngram_join, packing, sharding, suffix_dedup, token_files, toxicity,
+)
+from cairnway.session import cut, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,7 +186,7 @@ FROM sets JOIN classes USING (s) JOIN groups USING (class_id) LEFT JOIN counted
 @query(_JOIN_SQL)
 def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its class of equal five-word sets, its links of 0.8 and its group."""
-    return ngram_join.ngram_join(table(spark, folder, "documents"))
+    return ngram_join.ngram_join(table(spark, folder, "documents")).drop("th", "kept")
 
 
 _SUFFIX_SQL = """
@@ -226,3 +228,39 @@ def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", F.aggregate(lengths, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query()
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from two thirds of the ids."""
+    return language.identify(table(spark, folder, "documents"))
+
+
+@query()
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every document, learned from labels of two thirds of the ids."""
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts.
+
+    For every id divisible by 50, ``n_near`` counts the other documents within three bits.
+    """
+    done = cut(fingerprints.fingerprints(table(spark, folder, "documents")))
+    sizes = done.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    asked = done.where("doc_id % 50 = 0").select("fingerprint").distinct()
+    near = (
+        fingerprints.within(sizes, asked)
+        .join(sizes.withColumnRenamed("fingerprint", "other"), "other")
+        .groupBy("fingerprint")
+        .agg((F.sum("n") - 1).alias("n_near"))
+    )
+    return done.join(near, "fingerprint", "left").select(
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
+        fingerprints.hexed(F.col("fingerprint")).alias("fingerprint"),
+        fingerprints.hexed(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+        F.when(F.col("doc_id") % 50 == 0, F.col("n_near")).alias("n_near"),
+    )

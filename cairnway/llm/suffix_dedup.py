@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cairnway.llm.common import Rolling, column_bytes, own_columns, slices, span_index, whole_groups
 from cairnway.session import cut
@@ -287,6 +288,7 @@ def _resolve(length: int):
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is left of each text; further columns pass as they are."""
     for part in slices(batches):
         sizes, spans, kept = [], [], []
         data, at = column_bytes(part.column("text"))
@@ -308,9 +310,9 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans.append([{"from": a, "to": b} for a, b in runs])
         kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("th"), pa.array(sizes, pa.int64()), pa.array(spans, kind),
+            [part.column("doc_id"), part.column("row"), pa.array(sizes, pa.int64()), pa.array(spans, kind),
              pa.array(kept, pa.binary())],
-            names=["doc_id", "th", "n_bytes", "spans", "kept"],
+            names=["doc_id", "row", "n_bytes", "spans", "kept"],
         )
 
 
@@ -322,7 +324,8 @@ def suffix_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, th, n_bytes, spans, kept) of every row; ``spans`` are cut out, ``kept`` is the rest.
+    """(doc_id, row, n_bytes, spans, kept) of every row; ``spans`` are cut out, ``kept`` is the
+    rest, ``row`` a struct of the columns other than the text.
 
     A byte goes when a string of ``length`` bytes over it starts anywhere else too, in any
     document. Every such string has one least hash among its ``gram``-byte substrings, so
@@ -337,14 +340,20 @@ def suffix_dedup(
       several arrays, and strings alone in theirs are then compared between the arrays.
 
     Null and short texts lose nothing. Repeated rows and rows with the same text are copies
-    and lose all of a text of ``length`` bytes or more. Spans are byte offsets; ``th`` is the
-    hash of the text, which tells rows with the same id apart. A null id is kept. An empty
-    table gives no rows.
+    and lose all of a text of ``length`` bytes or more. Spans are byte offsets. Rows are
+    told apart by id and hash of the text. A null id is kept. An empty table gives no rows.
     """
     own = own_columns(docs, id_col, text_col).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text")
     )
-    keyed = own.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    lowest = F.lit(-(1 << 63))
+    keyed = own.withColumn("doc", F.coalesce("doc_id", lowest))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), lowest).alias("doc"),
+        F.xxhash64(text).alias("th"), F.coalesce(text, F.lit("")).alias("text"),
+        F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row"),
+    )
     marks = own.where(F.octet_length("text") >= length).mapInArrow(
         _marks(length, gram), "doc_id long, th long, first long, last long, key long, body long, again boolean"
     ).withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).drop("doc_id")
@@ -399,6 +408,7 @@ def suffix_dedup(
     spans = whole.unionByName(near).unionByName(across).groupBy("doc", "th").agg(
         F.collect_list(F.struct("from", "to")).alias("held")
     )
-    return keyed.join(spans, ["doc", "th"], "left").select("doc_id", "th", "text", "held").mapInArrow(
-        _cut_out, "doc_id long, th long, n_bytes long, spans array<struct<from: long, to: long>>, kept binary"
-    )
+    schema = StructType().add("doc_id", "long").add("row", rows.schema["row"].dataType)
+    for field in StructType.fromDDL("n_bytes long, spans array<struct<from: long, to: long>>, kept binary"):
+        schema.add(field)
+    return rows.join(spans, ["doc", "th"], "left").select("doc_id", "row", "text", "held").mapInArrow(_cut_out, schema)

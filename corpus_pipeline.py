@@ -12,14 +12,14 @@ from cairnway.llm.suffix_dedup import suffix_dedup
 from cairnway.llm.toxicity import toxicity
 from cairnway.session import scratch
 
-_LOWEST = F.lit(-(1 << 63))
+_LOWEST = -(1 << 63)
 
 
 def _kept_rows(docs: DataFrame, kept: DataFrame, mark, longest: bool) -> DataFrame:
     """One row of ``docs`` for each (doc_id, mark) in ``kept``, also where rows repeat an id."""
     keys = ["_doc", "_mark"]
-    marked = docs.withColumns({"_doc": F.coalesce(F.col("doc_id"), _LOWEST), "_mark": mark})
-    wanted = kept.select(F.coalesce(F.col("doc_id"), _LOWEST).alias("_doc"), F.col("mark").alias("_mark")).distinct()
+    marked = docs.withColumns({"_doc": F.coalesce(F.col("doc_id"), F.lit(_LOWEST)), "_mark": mark})
+    wanted = kept.select(F.coalesce(F.col("doc_id"), F.lit(_LOWEST)).alias("_doc"), F.col("mark").alias("_mark")).distinct()
     best = Window.partitionBy(*keys).orderBy((-F.char_length("text")) if longest else F.lit(1))
     found = marked.join(wanted, keys).withColumn("_k", F.row_number().over(best))
     return found.where("_k = 1").select(*docs.columns)

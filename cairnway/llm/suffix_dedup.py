@@ -14,9 +14,9 @@ from cairnway.llm.common import Rolling, column_bytes, own_columns, slices, span
 from cairnway.session import cut
 
 #: Starts of strings looked at together in one document, so that a long one needs no more memory.
-PART = 1 << 20
+PART = 1 << 19
 #: Bytes of stretches that one suffix array is built over.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 3 << 19
 _MARKS = pa.schema(
     [("doc_id", pa.int64()), ("th", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("key", pa.int64()),
      ("body", pa.int64()), ("again", pa.bool_())]
@@ -47,7 +47,7 @@ def _marks(length: int, gram: int):
     """Stretches of string starts whose strings share their least ``gram`` hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most=2 * PART):
             data, at = column_bytes(part.column("text"))
             columns = [[] for _ in range(6)]
             for begin, end in _portions(at, length):
@@ -261,28 +261,53 @@ def repeated(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _resolve(length: int):
-    """Stretches whose strings stand more than once in a block of their group."""
+    """Stretches whose strings stand more than once in a block of their group.
+
+    For groups dealt into several blocks also the different strings of every stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["key", "deal"], 6000, "bytes", BLOCK_BYTES):
-            column = {c: table.column(c).to_pylist() for c in table.column_names}
-            begin, strings, there, names = repeated(column["bytes"], length)
-            rows = []
+        for table in whole_groups(batches, ["key", "deal"], 4000, "bytes", BLOCK_BYTES):
+            table = table.combine_chunks()
+            bodies = table.column("bytes").to_pylist()
+            begin, strings, there, names = repeated(bodies, length)
+            first, c, deals = (table.column(k).to_numpy() for k in ("first", "c", "deals"))
+            rows, starts, ends, wide, places, hashes, done = [], [], [], [], [], [], []
             for i, at in enumerate(begin):
-                count = len(column["bytes"][i]) - length + 1
+                count = len(bodies[i]) - length + 1
                 hit = there[at : at + count]
-                doc, th, first = column["doc_id"][i], column["th"][i], column["first"][i]
-                if column["c"][i] == 1 and hit.any():
+                if c[i] == 1 and hit.any():
                     edge = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
-                    rows += [(doc, th, first + int(f), first + int(t) - 1 + length, None, None, None) for f, t in zip(edge[::2], edge[1::2], strict=True)]
-                if column["deals"][i] > 1:
+                    rows += [i] * (len(edge) // 2)
+                    starts.append(first[i] + edge[::2])
+                    ends.append(first[i] + edge[1::2] - 1 + length)
+                if deals[i] > 1:
                     named = names[at : at + count].view(np.int64)
-                    held = np.sort(np.unique(named, return_index=True)[1])
-                    done = column["c"][i] > 1
-                    rows.append((doc, th, None, None, column["key"][i], column["deal"][i],
-                                 [{"at": first + int(k), "h": int(named[k]), "done": bool(done or hit[k])} for k in held]))
+                    held = np.unique(named, return_index=True)[1]
+                    wide.append(i)
+                    places.append(first[i] + held)
+                    hashes.append(named[held])
+                    done.append(hit[held] | (c[i] > 1))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FOUND.types, strict=True)], schema=_FOUND)
+                own = table.select(["doc_id", "th"]).take(pa.array(rows))
+                none = [pa.nulls(len(rows), t) for t in _FOUND.types[4:]]
+                yield pa.RecordBatch.from_arrays(
+                    [*(own.column(k).combine_chunks() for k in range(2)), pa.array(np.concatenate(starts)),
+                     pa.array(np.concatenate(ends)), *none],
+                    schema=_FOUND,
+                )
+            if wide:
+                own = table.select(["doc_id", "th", "key", "deal"]).take(pa.array(wide))
+                at = np.concatenate([[0], np.cumsum([len(x) for x in places])])
+                open_ = pa.StructArray.from_arrays(
+                    [pa.array(np.concatenate(places)), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(done))],
+                    names=["at", "h", "done"],
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0).combine_chunks(), own.column(1).combine_chunks(), pa.nulls(len(wide), pa.int64()),
+                     pa.nulls(len(wide), pa.int64()), own.column(2).combine_chunks(), own.column(3).combine_chunks(),
+                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), open_)],
+                    schema=_FOUND,
+                )
 
     return run
 

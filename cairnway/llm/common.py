@@ -135,9 +135,9 @@ def whole_groups(
     bytes of a binary column) each; only a larger group makes a larger table."""
     held: list[pa.RecordBatch] = []
     count = weight = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    cut = slices(batches, column, max(1, size // 2)) if column else batches
+    parts = (b.slice(i, rows) for b in cut for i in range(0, b.num_rows, rows))
+    for batch in parts:
         held.append(batch)
         count += batch.num_rows
         weight += int(column_bytes(batch.column(column))[1][-1]) if column else 0

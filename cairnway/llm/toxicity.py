@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,8 +40,9 @@ class Matcher:
 
     A state is the set of (trie node, edits so far) that the letters read can stand for: on
     each letter a node's child goes on as it is, another child costs a substitution, staying
-    an insertion, and skipping to a child a deletion. States are made when first met; the
-    empty state ends the search.
+    an insertion, and skipping to a child a deletion. A misspelling keeps its first letter, so
+    the root is left by that letter only. States are made when first met; the empty state
+    ends the search, as it does for most words after a few letters.
     """
 
     def __init__(self, terms: list[tuple[str, bool, float]]):
@@ -74,7 +76,7 @@ class Matcher:
         todo = list(nodes.items())
         while todo:  # skipped letters of the term
             node, edits = todo.pop()
-            if nodes[node] == edits:
+            if node and nodes[node] == edits:
                 for child in self.children[node].values():
                     if edits + 1 <= self.reach[child] and nodes.get(child, 99) > edits + 1:
                         nodes[child] = edits + 1
@@ -100,6 +102,10 @@ class Matcher:
                 after[node] = edits
 
         for node, edits in self.states[state].items():
+            if not node:
+                if letter in self.children[0]:
+                    put(self.children[0][letter], edits)
+                continue
             put(node, edits + 1)
             for own, child in self.children[node].items():
                 put(child, edits + (own != letter))
@@ -243,34 +249,43 @@ def word_counts(sampled: DataFrame) -> DataFrame:
 
 
 def choose_terms(counts: DataFrame, texts: tuple[int, int], most: int) -> list[tuple[str, bool, float]]:
-    """Words and word beginnings that mark toxic texts beyond chance, at most ``most`` of each.
+    """Words and word beginnings that mark toxic texts, at most ``most`` of each.
 
-    The weight is the log odds of a toxic text; the bound 2.5 deviations below it must be
-    positive. A beginning must lead to four different such words.
+    The weight is the log odds of a toxic text. A word is taken when its likelihood ratio
+    against chance is above what the most striking of all those words would reach by chance.
+    A beginning must lead to four words that are more often toxic.
     """
-    toxic, clean = texts
+    toxic, clean = max(texts[0], 1), max(texts[1], 1)
+    share = toxic / (toxic + clean)
+    bound = math.log(10 * max(1, counts.count()))
 
     def scored(df: DataFrame) -> DataFrame:
+        n = F.col("t") + F.col("c")
+        part = [F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (n * s))).otherwise(0.0) for k, s in (("t", share), ("c", 1 - share))]
         odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-        doubt = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-        return df.withColumns({"weight": odds, "sure": odds - 2.5 * doubt})
+        return df.withColumns({"weight": odds, "sure": part[0] + part[1]}).where((F.col("sure") > bound) & (F.col("weight") > 1))
 
-    words = scored(counts).where("sure > 0.3").orderBy(F.desc("sure"), "word").limit(most)
+    words = scored(counts).orderBy(F.desc("sure"), "word").limit(most)
     sizes = F.explode(F.sequence(F.lit(4), F.least(F.length("word") - 1, F.lit(9))))
     begun = (
         counts.where("length(word) > 4")
         .select("word", "t", "c", sizes.alias("size"))
         .groupBy(F.substring("word", F.lit(1), F.col("size")).alias("word"))
         .agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum(F.when(F.col("t") > F.col("c"), 1).otherwise(0)).alias("kinds"))
-        .where("kinds >= 4 and t >= 8")
+        .where("kinds >= 4")
     )
-    stems = scored(begun).where("sure > 1").orderBy(F.desc("sure"), "word").limit(most)
-    out = [(r["word"], False, float(min(r["weight"], 6.0))) for r in words.collect()]
-    held: set[str] = set()
+    stems = scored(begun).where("weight > 2").orderBy(F.desc("sure"), "word").limit(most)
+    out, held = [], {}
     for r in sorted(stems.collect(), key=lambda r: len(r["word"])):
-        if not any(r["word"][:k] in held for k in range(4, len(r["word"]))):
-            held.add(r["word"])
-            out.append((r["word"], True, float(min(r["weight"], 6.0))))
+        weight = float(min(r["weight"], 6.0))
+        known = max((held.get(r["word"][:k], 0.0) for k in range(4, len(r["word"]))), default=0.0)
+        if weight > known + 0.5:
+            held[r["word"]] = weight
+            out.append((r["word"], True, weight))
+    for r in words.collect():  # a word that its beginning speaks for as well is left to that
+        weight = float(min(r["weight"], 6.0))
+        if weight > 0.5 + max((held.get(r["word"][:k], 0.0) for k in range(4, len(r["word"]) + 1)), default=0.0):
+            out.append((r["word"], False, weight))
     return out
 
 
@@ -288,11 +303,18 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 12_000, terms: int = 1
     least = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     present = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     ids = present.withColumn("k", F.row_number().over(least)).where(F.col("k") <= most).drop("k")
+    texts = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(
+        F.coalesce(F.min("text"), F.lit("")).alias("text")
+    )
+    # Of copies and near copies, which share their least three-word hash, one text is learned from.
+    parts = F.split("text", " ")
+    grams = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(parts) - 3, F.lit(0))),
+        lambda i: F.xxhash64(*[F.get(parts, i + k) for k in range(3)]),
+    )
     sampled = cut(
-        docs.join(F.broadcast(ids), "doc_id")
-        .groupBy("doc_id", "toxic")
-        .agg(F.min("text").alias("text"))
-        .select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half"))
+        texts.withColumn("gram", F.array_min(grams)).groupBy("toxic", "gram").agg(F.min_by("text", "doc_id").alias("text"))
+        .select("toxic", "text", F.pmod("gram", F.lit(2)).cast("int").alias("half"))
     )
     sizes = {(r["half"], r["toxic"]): r["n"] for r in sampled.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:

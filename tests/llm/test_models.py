@@ -91,7 +91,7 @@ def test_matcher_equals_distances():
         found = []
         for term, stem, weight in terms:
             ends = [word[:k] for k in range(len(word) + 1)] if stem else [word]
-            edits = min(distance(e, term) for e in ends)
+            edits = min((distance(e[1:], term[1:]) for e in ends if e[:1] == term[0]), default=99)
             if edits <= toxicity.allowed(term, stem):
                 found.append(edits)
         hit = matcher.find(word)

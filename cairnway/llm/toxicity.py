@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from cairnway.llm.common import WORD, Cache, Pieces, slices
 from cairnway.llm.language import held_out
+from cairnway.llm.ngram_join import shingles
 from cairnway.session import cut
 
 #: Words on each side of a match that may show it as quoted.
@@ -289,6 +290,15 @@ def choose_terms(counts: DataFrame, texts: tuple[int, int], most: int) -> list[t
     return out
 
 
+def _least_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least three-word hash of each text, 0 without words."""
+    for part in slices(batches):
+        _, grams, n = shingles(part.column("text"), 3)
+        least = np.zeros(len(n), np.int64)
+        least[n > 0] = grams[(np.cumsum(n) - n)[n > 0]].view(np.int64)
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "toxic", "text")), pa.array(least)], names=["doc_id", "toxic", "text", "gram"])
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = 12_000, terms: int = 1500) -> Model:
     """Fit on at most ``most`` labelled texts of each label and ``terms`` words and beginnings.
 
@@ -303,17 +313,14 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 12_000, terms: int = 1
     least = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     present = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     ids = present.withColumn("k", F.row_number().over(least)).where(F.col("k") <= most).drop("k")
-    texts = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(
+    texts = docs.join(F.broadcast(ids), "doc_id").groupBy(F.col("doc_id").cast("long").alias("doc_id"), "toxic").agg(
         F.coalesce(F.min("text"), F.lit("")).alias("text")
     )
     # Of copies and near copies, which share their least three-word hash, one text is learned from.
-    parts = F.split("text", " ")
-    grams = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(parts) - 3, F.lit(0))),
-        lambda i: F.xxhash64(*[F.get(parts, i + k) for k in range(3)]),
-    )
     sampled = cut(
-        texts.withColumn("gram", F.array_min(grams)).groupBy("toxic", "gram").agg(F.min_by("text", "doc_id").alias("text"))
+        texts.mapInArrow(_least_grams, "doc_id long, toxic int, text string, gram long")
+        .groupBy("toxic", "gram")
+        .agg(F.min_by("text", "doc_id").alias("text"))
         .select("toxic", "text", F.pmod("gram", F.lit(2)).cast("int").alias("half"))
     )
     sizes = {(r["half"], r["toxic"]): r["n"] for r in sampled.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -27,6 +27,8 @@ REPORTING = frozenset(
     "sagte nannte wort beleidigung dijo llamó palabra insulto".split()
 )
 FEATURES = 6
+#: Parts of the sample; matches of each are found with the lexicon of the others.
+FOLDS = 4
 
 
 def allowed(term: str, stem: bool) -> int:
@@ -239,12 +241,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
 
 
 def word_counts(sampled: DataFrame) -> DataFrame:
-    """(half, toxic, word, n): in how many texts of each half and label a word stands."""
+    """(fold, word, t, c): in how many toxic and clean texts of each fold a word stands."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)))
     return (
-        sampled.select("half", "toxic", F.explode(words).alias("word"))
+        sampled.select("fold", "toxic", F.explode(words).alias("word"))
         .where("length(word) between 3 and 40")
-        .groupBy("half", "word")
+        .groupBy("fold", "word")
         .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     )
 
@@ -303,9 +305,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 12_000, terms: int = 1
     """Fit on at most ``most`` labelled texts of each label and ``terms`` words and beginnings.
 
     A document with several labels counts by the highest. The sample, those with the least
-    hashes of the id, is split in two: matches of each half are found with the lexicon of the
-    other, so the logistic model sees words as new texts will show them; the final lexicon
-    comes from both. Bounds are parameters; all else is counted in Spark.
+    hashes of the id, is split in ``FOLDS``: matches of each fold are found with the lexicon of
+    the others, so the logistic model sees words as new texts will show them, with a lexicon
+    nearly as full as the final one, which comes from all. Bounds are parameters; all else is
+    counted in Spark.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(
         F.when(F.max("toxic") >= 1, 1).otherwise(0).alias("toxic")
@@ -321,32 +324,35 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 12_000, terms: int = 1
         texts.mapInArrow(_least_grams, "doc_id long, toxic int, text string, gram long")
         .groupBy("toxic", "gram")
         .agg(F.min_by("text", "doc_id").alias("text"))
-        .select("toxic", "text", F.pmod("gram", F.lit(2)).cast("int").alias("half"))
+        .select("toxic", "text", F.pmod("gram", F.lit(FOLDS)).cast("int").alias("fold"))
     )
-    sizes = {(r["half"], r["toxic"]): r["n"] for r in sampled.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {(r["fold"], r["toxic"]): r["n"] for r in sampled.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model(Lexicon([]), np.append(np.zeros(5), -4.0))
     counts = cut(word_counts(sampled))
-    halves = [
-        Lexicon(choose_terms(counts.where(F.col("half") == h), (sizes.get((h, 1), 0), sizes.get((h, 0), 0)), terms))
-        for h in (0, 1)
-    ]
-    both = counts.groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    total = tuple(sum(sizes.get((h, label), 0) for h in (0, 1)) for label in (1, 0))
-    final = Lexicon(choose_terms(both, total, terms))
+
+    def lexicon(left_out: int) -> Lexicon:
+        parts = counts.where(F.col("fold") != left_out).groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+        held = tuple(sum(n for (fold, toxic), n in sizes.items() if fold != left_out and toxic == label) for label in (1, 0))
+        return Lexicon(choose_terms(parts, held, terms))
+
+    others = [lexicon(fold) for fold in range(FOLDS)]
+    final = lexicon(-1)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            half = part.column("half").to_numpy()
-            text = part.column("text")
-            found = np.where(half[:, None] == 0, halves[1].features(text), halves[0].features(text))
+            folds = part.column("fold").to_numpy()
+            found = np.zeros((len(folds), FEATURES))
+            for fold in np.unique(folds):
+                rows = np.flatnonzero(folds == fold)
+                found[rows] = others[fold].features(part.column("text").take(pa.array(rows)))
             yield pa.RecordBatch.from_arrays(
                 [part.column("toxic"), *[pa.array(found[:, k]) for k in range(FEATURES)]],
                 names=["toxic", *[f"f{k}" for k in range(FEATURES)]],
             )
 
     schema = "toxic int, " + ", ".join(f"f{k} double" for k in range(FEATURES))
-    rows = np.array([tuple(r) for r in sampled.select("toxic", "half", "text").mapInArrow(seen, schema).collect()], float)
+    rows = np.array([tuple(r) for r in sampled.select("toxic", "fold", "text").mapInArrow(seen, schema).collect()], float)
     return Model(final, fit_evidence(shaped(rows[:, 1:]), rows[:, 0]))
 
 

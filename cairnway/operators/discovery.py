@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -575,41 +577,46 @@ def continuity(pieces: DataFrame) -> DataFrame:
 
 
 def _stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy order of the pieces of one feature by identical end points."""
-    rows = [
-        (int(r.piece), (r.lon1, r.lat1), (r.lon2, r.lat2))
-        for r in pdf.sort_values("piece").itertuples()
-    ]
-    out = []
-    line = 0
-    while rows:
-        first = rows.pop(0)
-        chain = [(first[0], False)]
-        head, tail = first[1], first[2]
-        moved = True
-        while moved and rows:
-            moved = False
-            for i, (piece, start, end) in enumerate(rows):
-                if tail == start:
-                    chain.append((piece, False))
-                    tail = end
-                elif tail == end:
-                    chain.append((piece, True))
-                    tail = start
-                elif head == end:
-                    chain.insert(0, (piece, False))
-                    head = start
-                elif head == start:
-                    chain.insert(0, (piece, True))
-                    head = end
-                else:
-                    continue
-                rows.pop(i)
-                moved = True
-                break
-        out += [(line, at, piece, turned) for at, (piece, turned) in enumerate(chain)]
-        line += 1
-    made = pd.DataFrame(out, columns=["line", "at", "piece", "reversed"])
+    """Lines of one feature, from an index of the pieces at each end point.
+
+    A line begins with the first free piece and takes the first free piece that touches either
+    of its tips, the far tip before the near one. Each piece enters two queues and leaves each
+    once, so the work is linear after sorting.
+    """
+    rows = pdf.sort_values("piece", ignore_index=True)
+    ends = list(zip(zip(rows["lon1"], rows["lat1"]), zip(rows["lon2"], rows["lat2"])))
+    waiting: dict[tuple, deque[int]] = defaultdict(deque)
+    for i, pair in enumerate(ends):
+        for point in set(pair):
+            waiting[point].append(i)
+    free = [True] * len(ends)
+
+    def first_free(point: tuple) -> int:
+        queue = waiting[point]
+        while queue and not free[queue[0]]:
+            queue.popleft()
+        return queue[0] if queue else len(ends)
+
+    lines = []
+    for seed, (near, far) in enumerate(ends):
+        if not free[seed]:
+            continue
+        free[seed], line = False, deque([(seed, False)])
+        while (pick := min(first_free(far), first_free(near))) < len(ends):
+            forward = pick == first_free(far)
+            joint, along = (far, ends[pick]) if forward else (near, ends[pick][::-1])
+            turned = along[0] != joint
+            free[pick] = False
+            if forward:
+                line.append((pick, turned))
+                far = along[not turned]
+            else:
+                line.appendleft((pick, turned))
+                near = along[not turned]
+        lines.append(line)
+    placed = [(number, at, i, turned) for number, line in enumerate(lines) for at, (i, turned) in enumerate(line)]
+    made = pd.DataFrame(placed, columns=["line", "at", "piece", "reversed"])
+    made["piece"] = rows["piece"].to_numpy()[made["piece"]]
     made.insert(0, "feature_id", pdf["feature_id"].iloc[0])
     return made
 

@@ -80,6 +80,41 @@ def test_stitching_turns_pieces(spark):
     assert got == {0: (0, 0, False), 1: (0, 1, True), 2: (1, 0, False)}
 
 
+
+def test_stitched_lines_are_whole(spark):
+    import random
+
+    rng = random.Random(5)
+    points = [(float(rng.randrange(7)), float(rng.randrange(3))) for _ in range(12)]
+    rows = [(f, p, *rng.choice(points), *rng.choice(points)) for f in range(6) for p in range(15)]
+    schema = "feature_id long, piece long, lon1 double, lat1 double, lon2 double, lat2 double"
+    made = discovery.stitched(spark.createDataFrame(rows, schema)).collect()
+    ends = {(r[0], r[1]): (r[2:4], r[4:6]) for r in rows}
+    assert sorted((r["feature_id"], r["piece"]) for r in made) == sorted(ends)
+    lines = {}
+    for r in sorted(made, key=lambda r: (r["feature_id"], r["line"], r["at"])):
+        pair = ends[r["feature_id"], r["piece"]]
+        lines.setdefault((r["feature_id"], r["line"]), []).append((r["piece"], pair[::-1] if r["reversed"] else pair))
+    for (feature, number), line in lines.items():
+        assert all(a[1][1] == b[1][0] for a, b in zip(line, line[1:]))
+        later = [p for (f, n), other in lines.items() if f == feature and n > number for p, _ in other]
+        tips = {line[0][1][0], line[-1][1][1]}
+        assert not any(tips & set(ends[feature, p]) for p in later)
+
+
+def test_profile_points_keep_the_budget(spark):
+    from cairnway.operators import terrain
+
+    groups = {1: [1.0] * 7, 2: [5.0, 0.1, 0.1], 3: [0.0, 0.0], 4: [1.0] * 13, 5: [2.5, 2.5, 2.5, 2.5, 1.0], 6: [3.0], 7: [1.0] * 4}
+    rows = [(g, i, k) for g, kms in groups.items() for i, k in enumerate(kms)]
+    got = terrain.allocate_samples(spark.createDataFrame(rows, "g long, part_no long, km double"), ["g"], 10).collect()
+    points = {g: [r["points"] for r in sorted(got, key=lambda r: r["part_no"]) if r["g"] == g] for g in groups}
+    # 1: a share of 3/7 rounds to none. 5: shares 1.14 x 4 and 0.45. 7: shares 1.5 x 4 round to 2, two units go back.
+    assert points == {
+        1: [1] * 7, 2: [8, 1, 1], 3: [1, 1], 4: [1] * 10, 5: [2, 2, 2, 2, 1], 6: [10], 7: [2, 2, 3, 3],
+    }
+
+
 BASE = dict(
     has_weather=True, rain_24h=0.0, precip_24h=0.0, rain_72h=0.0, precip_72h=0.0, precip_now=0.0, precip_interval_s=3600.0,
     snowfall=0.0, temperature=18.0, wind=5.0, forecast_rain=0.0, forecast_prob=0.0, weather_code=0, window_hours=None,

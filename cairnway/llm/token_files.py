@@ -8,6 +8,7 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -141,7 +142,9 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 65_536
         self.pieces, self.cache, self.words = pieces, Cache(500_000), Cache(500_000)
-        self.pattern = self._word_pattern(json.loads(definition)) if pieces else None
+        spec = json.loads(definition) if pieces else {}
+        self.pattern = self._word_pattern(spec) if pieces else None
+        self.closing = self._closing(spec["model"], self.tokenizer.get_vocab_size(with_added_tokens=True)) if self.pattern else None
 
     @staticmethod
     def _word_pattern(spec: dict):
@@ -154,6 +157,17 @@ class Encoder:
                 return regex.compile(step["pattern"]["Regex"])
         return None
 
+    @staticmethod
+    def _closing(model: dict, size: int) -> np.ndarray | None:
+        """Which ids end a word, where the model marks them."""
+        suffix = model.get("end_of_word_suffix")
+        if not suffix:
+            return None
+        ids = [i for token, i in model["vocab"].items() if token.endswith(suffix)]
+        closing = np.zeros(max([size, *ids]) + 1, bool)
+        closing[ids] = True
+        return closing
+
     def library(self, texts: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(texts), 10_000):
@@ -163,17 +177,50 @@ class Encoder:
 
     def by_words(self, pieces: list[str]) -> list[bytes]:
         """Letters below U+0250 other than U+0130 have one lower case and stay as they are
-        under normalisation; a piece with others, or with a special token, goes as it is."""
-        plain = [bool(_LATIN.fullmatch(p)) and "<|" not in p for p in pieces]
-        cut_up = [self.pattern.findall(p.lower()) if ok else [p] for p, ok in zip(pieces, plain, strict=True)]
-        ids = iter(self.words.all([w for words in cut_up for w in words], lambda new: self._distinct(new)))
-        return [b"".join([next(ids) for _ in words]) for words in cut_up]
+        under normalisation; a piece with others, or with a special token, goes as it is.
+
+        The pattern never looks across white space, so that it cuts all pieces in one call, with
+        a mark between them that no piece holds."""
+        plain = [(p.isascii() and p.isprintable() or bool(_LATIN.fullmatch(p))) and "<|" not in p for p in pieces]
+        cut_up = self.pattern.findall(f" {_MARK} ".join(compress(pieces, plain)).lower())
+        ids = self.words.all(cut_up, self._distinct)
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        inner = ends[[i for i, w in enumerate(cut_up) if w == _MARK]].tolist()
+        pool = b"".join(ids)
+        done = iter([pool[i:j] for i, j in zip([0, *inner], [*inner, len(pool)], strict=True)])
+        if all(plain):
+            return list(done)
+        rest = iter(self.library([p for p, ok in zip(pieces, plain, strict=True) if not ok]))
+        return [next(done if ok else rest) for ok in plain]
 
     def _distinct(self, words: list[str]) -> list[bytes]:
         known = dict.fromkeys(words)
-        known = dict(zip(known, self.library(list(known)), strict=True))
+        known.pop(_MARK, None)
+        several = list(known)
+        known = dict(zip(several, self._in_rows(several), strict=True))
+        known[_MARK] = b""
         return [known[w] for w in words]
 
+    def _in_rows(self, words: list[str]) -> list[bytes]:
+        """Ids of words that the pattern leaves whole, many to a row; an id that closes a word
+        parts them. A row where a word has no such id is encoded word by word."""
+        if self.closing is None:
+            return self.library(words)
+        out = []
+        rows = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        for i in range(0, len(rows), 16):
+            some = rows[i : i + 16]
+            done = self.tokenizer.encode_batch_fast([" ".join(r) for r in some], add_special_tokens=False)
+            for row, found in zip(some, done, strict=True):
+                ids = np.array(found.ids, np.uint32)
+                ends = (np.flatnonzero(self.closing[ids]) + 1) * 4
+                if len(ends) != len(row) or ends[-1] != ids.nbytes:
+                    out += self.library(row)
+                    continue
+                pool, ends = ids.tobytes(), ends.tolist()
+                out += [pool[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.pieces:
             cut_up = Pieces(column)
@@ -182,6 +229,8 @@ class Encoder:
         return np.frombuffer(b"".join(ids), np.uint32), np.cumsum([len(x) // 4 for x in ids])
 
 
+#: Between pieces; not among the characters below.
+_MARK = "\0"
 #: Printing characters and white space below U+0250.
 _LATIN = re.compile("[\\t\\n\\r\x20-\x7e\xa0-\u012f\u0131-\u024f]*")
 _LOADED: dict[tuple, Encoder] = {}

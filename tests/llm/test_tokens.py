@@ -78,6 +78,21 @@ def test_pieces_equal_whole_texts():
         begin = end
 
 
+def test_words_in_rows_equal_words_alone():
+    definition = vocabulary("word_bpe_49k.json")
+    library = Tokenizer.from_str(definition)
+    odd = ["", " ", "  ", "\0", "a\0b", "don't !'s ''ll 'd x' </w> w</w>", "\u0130stanbul \u00c5ngstr\u00f6m a\u030a",
+           "<|endoftext|>", "a<|endoftext|>b <| |>", "12 3four\u00bd\t5\r\n6", "\u6f22\u5b57 kana", "\x07bell \x7f", "\u01c5 \u0149"]
+    for rows in (odd, [t for t in odd if t.isascii()], odd[:3], odd[3:4], odd[7:8], odd * 3):
+        for marked in (True, False):
+            own = token_files.Encoder(definition, True)
+            if not marked:
+                own.closing[:] = False  # then every row is encoded word by word
+            ids, ends = own.encode(pa.array(rows))
+            for text, begin, end in zip(rows, [0, *ends[:-1]], ends, strict=True):
+                assert ids[begin:end].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_op2_query(spark, documents):
     library = Tokenizer.from_str(vocabulary("word_bpe_49k.json"))
     rows = {r["doc_id"]: r for r in QUERIES["op2_token_files"](spark, FOLDER).collect()}

@@ -43,18 +43,20 @@ class Matcher:
 
     A state is the set of (trie node, edits so far) that the letters read can stand for: on
     each letter a node's child goes on as it is, another child costs a substitution, staying
-    an insertion, and skipping to a child a deletion. A misspelling keeps its first letter, so
-    the root is left by that letter only. States are made when first met; the empty state
-    ends the search, as it does for most words after a few letters.
+    an insertion, and skipping to a child a deletion. The root is left by a term's first
+    letter only; ``Finder`` adds the edits before it. States are made when first met; the
+    empty state ends the search, as it does for most words after a few letters.
+
+    ``costs`` gives for each term the edits already spent on it and those it still allows.
     """
 
-    def __init__(self, terms: list[tuple[str, bool, float]]):
+    def __init__(self, terms: list[tuple[str, bool, float]], costs: list[tuple[int, int]] | None = None):
         self.children: list[dict[str, int]] = [{}]
-        self.full: dict[int, tuple[float, int]] = {}
-        self.stem: dict[int, tuple[float, int]] = {}
+        self.full: dict[int, dict[tuple[int, int], float]] = {}
+        self.stem: dict[int, dict[tuple[int, int], float]] = {}
         self.reach = [0]
-        for term, stem, weight in terms:
-            edits, node = allowed(term, stem), 0
+        for (term, stem, weight), (spent, edits) in zip(terms, costs or [(0, allowed(t[0], t[1])) for t in terms], strict=True):
+            node = 0
             self.reach[0] = max(self.reach[0], edits)
             for letter in term:
                 if letter not in self.children[node]:
@@ -63,9 +65,8 @@ class Matcher:
                     self.reach.append(0)
                 node = self.children[node][letter]
                 self.reach[node] = max(self.reach[node], edits)
-            ends = self.stem if stem else self.full
-            if node not in ends or ends[node][0] < weight:
-                ends[node] = (weight, edits)
+            ends = (self.stem if stem else self.full).setdefault(node, {})
+            ends[spent, edits] = max(weight, ends.get((spent, edits), weight))
         self.clear()
 
     def clear(self) -> None:
@@ -94,7 +95,11 @@ class Matcher:
 
     @staticmethod
     def _best(ends: dict, nodes: dict[int, int]):
-        found = [(edits, -ends[n][0]) for n, edits in nodes.items() if n in ends and edits <= ends[n][1]]
+        found = [
+            (edits + spent, -weight)
+            for n, edits in nodes.items() if n in ends
+            for (spent, most), weight in ends[n].items() if edits <= most
+        ]
         return min(found) if found else None
 
     def _move(self, state: int, letter: str) -> int:
@@ -135,11 +140,42 @@ class Matcher:
         return None if best is None else (best[0], -best[1])
 
 
+class Finder:
+    """The nearest term by the whole edit distance, edits at the first letter included.
+
+    Take the first letter that word and term share in a cheapest alignment, after i letters of
+    the term and j of the word: what stands before it costs max(i, j) edits, and the rest is an
+    alignment that keeps its first letter. So for each j there is a ``Matcher`` that reads the
+    word without j letters, over the terms without i letters, with the edits that are left.
+    """
+
+    def __init__(self, terms: list[tuple[str, bool, float]]):
+        self.matchers = []
+        for j in range(1 + max((allowed(term, stem) for term, stem, _ in terms), default=0)):
+            parts = [
+                ((term[i:], stem, weight), (max(i, j), allowed(term, stem) - max(i, j)))
+                for term, stem, weight in terms
+                for i in range(allowed(term, stem) + 1) if j <= allowed(term, stem)
+            ]
+            self.matchers.append(Matcher([p[0] for p in parts], [p[1] for p in parts]))
+
+    def find(self, word: str) -> tuple[int, float] | None:
+        """(edits, weight) of the nearest term, of equal ones the weightiest."""
+        best = None
+        for j, matcher in enumerate(self.matchers):
+            if best is not None and best[0] < j:
+                break
+            hit = matcher.find(word[j:])
+            if hit is not None and (best is None or (hit[0], -hit[1]) < (best[0], -best[1])):
+                best = hit
+        return best
+
+
 @dataclass
 class Lexicon:
     terms: list[tuple[str, bool, float]]
     cache: Cache | None = field(default=None, repr=False)
-    matcher: Matcher | None = field(default=None, repr=False)
+    matcher: Finder | None = field(default=None, repr=False)
 
     def __getstate__(self):
         return {"terms": self.terms, "cache": None, "matcher": None}
@@ -147,7 +183,7 @@ class Lexicon:
     def pieces(self, pieces: list[str]) -> np.ndarray:
         """For each piece: weight of its exact and of its misspelled match, quote marks, reporting words."""
         if self.cache is None:
-            self.cache, self.matcher = Cache(300_000), Matcher(self.terms)
+            self.cache, self.matcher = Cache(300_000), Finder(self.terms)
         return np.array(self.cache.all(pieces, self._looked_up), np.float32).reshape(-1, 4)
 
     def _looked_up(self, pieces: list[str]) -> list[tuple]:

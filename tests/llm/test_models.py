@@ -98,6 +98,30 @@ def test_matcher_equals_distances():
         assert (hit is None) == (not found) and (hit is None or hit[0] == min(found)), (word, hit)
 
 
+def test_finder_equals_whole_distances():
+    rng = random.Random(4)
+    for _ in range(4):
+        terms = [("".join(rng.choice("abcd") for _ in range(rng.randrange(3, 12))), rng.random() < 0.3, round(rng.random(), 3)) for _ in range(40)]
+        finder = toxicity.Finder(terms)
+        for _ in range(1500):
+            word = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 13)))
+            found = []
+            for term, stem, weight in terms:
+                ends = [word[:k] for k in range(len(word) + 1)] if stem else [word]
+                edits = min(distance(e, term) for e in ends)
+                if edits <= toxicity.allowed(term, stem):
+                    found.append((edits, -weight))
+            hit = finder.find(word)
+            assert (hit is None) == (not found) and (hit is None or (hit[0], -hit[1]) == min(found)), (word, hit)
+
+
+def test_disguised_first_letters():
+    lexicon = toxicity.Lexicon([("worthless", False, 4.0), ("idiot", False, 3.0)])
+    texts = pa.array(["you diot", "you 1diot", "you xidiot", "an orthless thing", "an 0rthless thing", "an xxworthless thing", "an rthless thing"])
+    assert lexicon.features(texts)[:, 2].tolist() == [3, 3, 3, 4, 4, 4, 4]
+    assert not lexicon.features(pa.array(["thless", "iot", "xxidiot"])).any()
+
+
 def test_toxicity_held_out(spark, docs):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     rows = toxicity.toxicity(docs, labels).where("held_out").join(labels, "doc_id").collect()

@@ -292,7 +292,8 @@ def choose_terms(counts: DataFrame, texts: tuple[int, int], most: int) -> list[t
 
     The weight is the log odds of a toxic text. A word is taken when its likelihood ratio
     against chance is above what the most striking of all those words would reach by chance.
-    A beginning must lead to four words that are more often toxic.
+    A beginning must lead to four words that are more often toxic. It never takes the place of a
+    word, nor of a longer beginning that allows more edits.
     """
     toxic, clean = max(texts[0], 1), max(texts[1], 1)
     share = toxic / (toxic + clean)
@@ -314,17 +315,15 @@ def choose_terms(counts: DataFrame, texts: tuple[int, int], most: int) -> list[t
         .where("kinds >= 4")
     )
     stems = scored(begun).where("weight > 2").orderBy(F.desc("sure"), "word").limit(most)
-    out, held = [], {}
+    out = [(r["word"], False, float(min(r["weight"], 6.0))) for r in words.collect()]
+    held: dict[str, float] = {}
     for r in sorted(stems.collect(), key=lambda r: len(r["word"])):
-        weight = float(min(r["weight"], 6.0))
-        known = max((held.get(r["word"][:k], 0.0) for k in range(4, len(r["word"]))), default=0.0)
+        weight, edits = float(min(r["weight"], 6.0)), allowed(r["word"], True)
+        before = (r["word"][:k] for k in range(4, len(r["word"])))
+        known = max((held.get(b, 0.0) for b in before if allowed(b, True) >= edits), default=0.0)
         if weight > known + 0.5:
             held[r["word"]] = weight
             out.append((r["word"], True, weight))
-    for r in words.collect():  # a word that its beginning speaks for as well is left to that
-        weight = float(min(r["weight"], 6.0))
-        if weight > 0.5 + max((held.get(r["word"][:k], 0.0) for k in range(4, len(r["word"]) + 1)), default=0.0):
-            out.append((r["word"], False, weight))
     return out
 
 

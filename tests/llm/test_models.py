@@ -122,6 +122,17 @@ def test_disguised_first_letters():
     assert not lexicon.features(pa.array(["thless", "iot", "xxidiot"])).any()
 
 
+def test_words_keep_their_edits_beside_a_beginning(spark):
+    forms = ["worthless", "worthles", "worthlss", "worthlesss", "worthlessly"]
+    rows = [(0, w, 60, 0) for w in forms] + [(0, f"plain{i}", 1, 60) for i in range(30)]
+    counts = spark.createDataFrame(rows, "fold int, word string, t long, c long").drop("fold")
+    terms = toxicity.choose_terms(counts, (300, 1800), 1500)
+    assert "wort" in {t for t, stem, _ in terms if stem} and set(forms) <= {t for t, stem, _ in terms if not stem}
+    assert any(stem and toxicity.allowed(t, True) for t, stem, _ in terms)
+    texts = pa.array(["a wrothless one", "a wothless one", "a wrthlessly one", "an orthlessness"])
+    assert (toxicity.Lexicon(terms).features(texts)[:, 2] > 0).all()
+
+
 def test_toxicity_held_out(spark, docs):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     rows = toxicity.toxicity(docs, labels).where("held_out").join(labels, "doc_id").collect()

@@ -211,7 +211,7 @@ def _distance(t: Tables):
   SELECT CAST(level AS BIGINT) AS level, tx, ty, count(*) AS n, count(*) > 40 AS truncated FROM q WHERE n <= 40 OR level = 6 GROUP BY level, tx, ty""")
 def _dense(t: Tables):
     points = t.ways().select(F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
-    return boxes.dense_tiles(points, cap=40, root_deg=5.0, min_half_deg=0.07)
+    return boxes.dense_tiles(points, cap=40, root_deg=5.0)
 
 
 def scored_ways(t: Tables):

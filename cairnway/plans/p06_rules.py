@@ -266,5 +266,4 @@ ORACLE_ONLY["v_votes"] = VOTES.replace("{m}", "v_members")
   SELECT route_id, total AS total_members, k AS scored_members, CASE WHEN ok THEN t END AS tier, CASE WHEN ok THEN round_even(n / k, 4) END AS agreement, CASE WHEN ok THEN round_even(m / k, 4) END AS confidence,
     CASE WHEN ok THEN round_even(n / k, 4) < 2 / 3 END AS members_disagree, CASE WHEN ok THEN k > 1 AND n = n2 AND m = m2 END AS tied, total > 6 AS truncated FROM a""")
 def _vote(t: Tables):
-    """The first six members vote here, so that routes are cut and the cut is seen."""
-    return rules.tier_vote(t.spark.sql(VOTES, m=t.members()), first=6)
+    return rules.tier_vote(t.spark.sql(VOTES, m=t.members()))

@@ -4,8 +4,10 @@ from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
-from cairnway.plans import all_plans, p02_boxes
+from cairnway.plans import all_plans, p02_boxes, p07_names
+from cairnway.plans.registry import Tables
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -35,3 +37,20 @@ def test_dense_tiles_split_down_to_the_feature(spark):
     got = {tuple(r) for r in p02_boxes._dense(SimpleNamespace(ways=lambda: ways)).collect()}
     assert {r for r in got if r[1] < 2} == {(7, 0, 0, 30, False), (7, 1, 0, 30, False)}
     assert [r[3:] for r in got if r[4]] == [(50, True)]
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="tables are not here")
+def test_a_common_name_keeps_every_relation(spark, monkeypatch):
+    one = Tables(spark, FOLDER).relations().where("route = 'hiking'").limit(1)
+    blank = [F.lit(None).cast("string").alias(c) for c in one.columns if c.endswith("name") or c.startswith("name")]
+    kept = [F.col(c) for c in one.columns if c != "relation_id" and not (c.endswith("name") or c.startswith("name"))]
+    many = one.drop("relation_id").crossJoin(spark.range(1200).toDF("relation_id")).select("relation_id", *kept, *blank).withColumn("name", F.lit("Ridge Trail"))
+    asked = spark.createDataFrame([("Ridge Trail", None), ("Lake Path", None)], "name string, alias string")
+    t = SimpleNamespace(spark=spark, view=lambda name: asked, relations=lambda: many)
+    for by_ranges in (False, True):
+        if by_ranges:
+            monkeypatch.setattr(p07_names.names.skew, "narrow", lambda df, keys, bound=None: False)
+        rows = p07_names._by_name(t).collect()
+        assert sorted(r["relation_id"] for r in rows) == list(range(1200)) and {r["asked"] for r in rows} == {"Ridge Trail"}
+        assert sorted(r["place"] for r in rows) == list(range(1, 1201))
+        assert [r["relation_id"] for r in sorted(rows, key=lambda r: r["place"])] == list(range(1200))

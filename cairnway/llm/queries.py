@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnway.llm import (
-    bpe, exact_dedup, fingerprints, language, ngram_join, packing, sharding, suffix_dedup, token_files, toxicity,
+    bpe, exact_dedup, fingerprints, language, ngram_join, packing, sharding, suffix_dedup, token_files, toxicity, vector_codes,
 )
 from cairnway.session import cut, scratch
 
@@ -264,3 +264,48 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         "near_edited", "near_next",
         F.when(F.col("doc_id") % 50 == 0, F.col("n_near")).alias("n_near"),
     )
+
+
+def _codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """One assignment and one move of the entries after the other, each a pair of common tables."""
+    def assigned(k: int) -> str:
+        return f"""near{k} AS MATERIALIZED (
+  SELECT r, part, arg_min(entry, (dist, entry)) AS entry, min(dist) AS dist FROM (
+    SELECT c.r, c.part, b.entry, sum((c.v - b.v) * (c.v - b.v)) AS dist
+    FROM comps c JOIN book{k} b ON b.part = c.part AND b.pos = c.pos GROUP BY c.r, c.part, b.entry)
+  GROUP BY r, part
+)"""
+
+    def moved(k: int) -> str:
+        return f"""book{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.pos, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, b.v)::BIGINT AS v
+  FROM book{k} b LEFT JOIN (
+    SELECT c.part, a.entry, c.pos, sum(c.v) AS s, count(*) AS n
+    FROM comps c JOIN near{k} a ON a.r = c.r AND a.part = c.part GROUP BY ALL) m USING (part, entry, pos)
+)"""
+
+    steps = ",\n".join(f"{assigned(k)},\n{moved(k)}" for k in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST) AS r,
+    list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), comps AS MATERIALIZED (
+  SELECT r, (i * {vector_codes.PARTS}) // len(q) AS part, i % (len(q) // {vector_codes.PARTS}) AS pos, q[i + 1] AS v
+  FROM (SELECT r, q, unnest(range(len(q))) AS i FROM kept)
+), book0 AS MATERIALIZED (SELECT part, r - 1 AS entry, pos, v FROM comps WHERE r <= {vector_codes.ENTRIES}),
+{steps},
+{assigned(rounds)}, coded AS (
+  SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(dist)::BIGINT AS error FROM near{rounds} GROUP BY r
+), digest AS (
+  SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (r), digest
+"""
+
+
+@query(_codes_sql())
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of all vectors from eight codebooks of 16 entries, after six rounds."""
+    return vector_codes.vector_codes(table(spark, folder, "embeddings"))

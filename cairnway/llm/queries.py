@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnway.llm import (
-    bpe, exact_dedup, fingerprints, language, ngram_join, packing, sharding, suffix_dedup, token_files, toxicity, vector_codes,
+    bpe, exact_dedup, fingerprints, language, ngram_join, packing, prefix_trie, sharding, suffix_dedup, token_files,
+    toxicity, vector_codes,
 )
 from cairnway.session import cut, scratch
 
@@ -54,17 +55,20 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 _PART = "('0x' || substr(md5({key}), 1, 7))::BIGINT % 256"
 
-_SHARD_SQL = f"""
-WITH crc_table AS (
+_CRC_TABLE = """crc_table AS (
   SELECT list(list_reduce([i] || [0, 1, 2, 3, 4, 5, 6, 7],
     lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
   FROM range(256) r(i)
-), rows AS (
+)"""
+_CRC = """xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex({bytes}), '..'), lambda x: ('0x' || x)::BIGINT),
+      lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)"""
+
+_SHARD_SQL = f"""
+WITH {_CRC_TABLE}, rows AS (
   SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, encode(coalesce(text, '')) AS b FROM documents
 ), summed AS (
   SELECT doc_id, k, octet_length(b) + 8 AS size,
-    xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(b), '..'), lambda x: ('0x' || x)::BIGINT),
-      lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32
+    {_CRC.format(bytes="b")} AS text_crc32
   FROM rows, crc_table
 ), bids AS (
   SELECT doc_id, k, size, text_crc32, s, -1.0 / ln((('0x' || substr(md5(k || '#' || s), 1, 13))::BIGINT + 0.5::DOUBLE)
@@ -266,6 +270,50 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_TRIE_SQL = rf"""
+WITH {_CRC_TABLE}, turned AS (
+  SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS p, id, w FROM turned
+), sizes AS (
+  SELECT conv_id, count(*) AS own FROM own GROUP BY conv_id
+), plans AS (
+  SELECT a.conv_id, a.base, a.h, least(a.h, coalesce(b.own, 0)) AS b, least(a.h, coalesce(b.own, 0)) + greatest(a.own - a.h, 0) AS n
+  FROM (SELECT conv_id, own, conv_id - conv_id % 20 AS base, {_CRC.format(bytes="encode(conv_id::VARCHAR)")} % 4 AS h FROM sizes, crc_table) a
+  LEFT JOIN sizes b ON b.conv_id = a.base
+), turns AS (
+  SELECT q.conv_id, q.n, o.p AS d, o.id, o.w FROM plans q JOIN own o ON o.conv_id = q.base WHERE o.p <= q.b
+  UNION ALL
+  SELECT q.conv_id, q.n, o.p - q.h + q.b, o.id, o.w FROM plans q JOIN own o USING (conv_id) WHERE o.p > q.h
+), paths AS (
+  SELECT conv_id, n, d, w, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM turns
+  UNION ALL
+  SELECT conv_id, n, 0, 0, '' FROM plans
+), nodes AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) AS longest, max(w) AS w,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM paths GROUP BY path, d
+), below AS (
+  SELECT p.path, p.d, sum((b.longest = b.d)::INT) AS n_leaves, sum((b.n_convs - 1) * b.w) AS saved_tokens
+  FROM nodes b JOIN paths p ON p.conv_id = b.conv_id AND p.d <= b.d GROUP BY p.path, p.d
+), children AS (
+  SELECT left(path, (64 * (d - 1))::INT) AS path, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+)
+SELECT a.conv_id, a.d::BIGINT AS depth, b.conv_id AS parent_conv_id, a.n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, a.ends_sha256
+FROM nodes a JOIN below USING (path, d) LEFT JOIN children USING (path, d)
+LEFT JOIN nodes b ON a.d > 0 AND b.d = a.d - 1 AND b.path = left(a.path, (64 * (a.d - 1))::INT)
+"""
+
+
+@query(_TRIE_SQL)
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """All shared beginnings of all conversations, rebuilt so that neighbours begin alike."""
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
 def _codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
     """One assignment and one move of the entries after the other, each a pair of common tables."""
     def assigned(k: int) -> str:

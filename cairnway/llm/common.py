@@ -85,27 +85,35 @@ def span_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """The texts of a slice cut at single spaces, each different piece held once.
+    """The texts of a slice cut at single spaces, or at all white space, each different piece
+    held once.
 
     ``unique`` are the different pieces, ``index`` names one for every place, ``ends`` is the
     number of places up to the end of each text.
     """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, all_white: bool = False):
         column = pc.fill_null(column, "") if column.null_count else column
-        cut = pc.split_pattern(column, " ")
+        cut = pc.utf8_split_whitespace(column) if all_white else pc.split_pattern(column, " ")
         held = cut.flatten().dictionary_encode()
-        self.unique: list[str] = held.dictionary.to_pylist()
+        self.dictionary: pa.Array = held.dictionary
         self.index = held.indices.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
         self.ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64))
         self.starts = np.concatenate([[0], self.ends[:-1]]) if len(self.ends) else self.ends
 
+    @property
+    def unique(self) -> list[str]:
+        return self.dictionary.to_pylist()
+
     def expand(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All values (32-bit integers) in the order of the places, and how many there are up to
         each text's end."""
         size = np.fromiter(map(len, values), np.int64, len(values)) // 4
         pool = np.frombuffer(b"".join(values), np.uint32)
-        first = np.cumsum(size) - size
+        return self.spans(pool, np.cumsum(size) - size, size)
+
+    def spans(self, pool: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from one pool, where each different piece has its span."""
         each = size[self.index]
         ends = np.concatenate([[0], np.cumsum(each)])[self.ends]
         return pool[span_index(first[self.index], each)], ends
@@ -128,6 +136,37 @@ class Cache:
         return [held[k] for k in keys]
 
 
+class PieceIds:
+    """32-bit ids of pieces in a worker process, held and looked up as arrays; emptied when
+    ``most`` pieces are held."""
+
+    def __init__(self, most: int = 500_000):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.values, self.pool = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, pieces: pa.Array, missing: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``pool`` the ids of each of the different pieces begin, and how many there are."""
+        at = pc.index_in(pieces, value_set=self.values)
+        if at.null_count:
+            new = pieces.filter(pc.is_null(at))
+            if len(self.values) + len(new) > self.most:
+                self.clear()
+                new = pieces
+            ids = missing(new.to_pylist())
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), np.uint32)])
+            self.values = pa.concat_arrays([self.values, new.cast(pa.string())])
+            at = pc.index_in(pieces, value_set=self.values)
+        at = at.to_numpy(zero_copy_only=False)
+        return self.first[at], self.size[at]
+
+
 def whole_groups(
     batches: Iterable[pa.RecordBatch], keys: list[str], rows: int, column: str | None = None, size: int = 0
 ) -> Iterator[pa.Table]:

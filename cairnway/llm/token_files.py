@@ -21,13 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnway.llm.common import Cache, Pieces, own_columns, slices
+from cairnway.llm.common import Cache, PieceIds, Pieces, own_columns, slices, span_index
+from cairnway.llm.words import PATTERN, cut_words, plain
 from cairnway.session import cut
 
 #: Of the seekable zstandard format: magic numbers and the mark of a table with checksums.
 SEEK_FRAME, SEEK_END, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 #: The skippable frame that holds which document stands where.
 INDEX_FRAME = 0x184D2A5D
+#: Bytes of text that are encoded at a time: much of it, so that most pieces come again.
+ENCODE_BYTES = 8 << 20
 #: A frame holds whole documents of about so many ids, or one longer document.
 FRAME_IDS = 32_768
 _MANIFEST = pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("n_ids", pa.int64())])
@@ -130,7 +133,8 @@ class Encoder:
     With ``pieces``, for tokenizers that drop white space and never look across it, the
     different pieces between single spaces are encoded once each. Where the tokenizer lowers
     letters and keeps what its pattern finds, a piece of Latin letters is first cut by that
-    pattern, so that the library meets each different word once.
+    pattern, so that the library meets each different word once. Where that pattern is the one
+    ``words`` knows, whole Latin texts are cut at once.
     """
 
     def __init__(self, definition: str, pieces: bool):
@@ -141,7 +145,8 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 65_536
-        self.pieces, self.cache, self.words = pieces, Cache(500_000), Cache(500_000)
+        self.pieces, self.cache, self.words = pieces, PieceIds(500_000), Cache(500_000)
+        self.known = PieceIds(2_000_000)
         spec = json.loads(definition) if pieces else {}
         self.pattern = self._word_pattern(spec) if pieces else None
         self.closing = self._closing(spec["model"], self.tokenizer.get_vocab_size(with_added_tokens=True)) if self.pattern else None
@@ -222,9 +227,31 @@ class Encoder:
         return out
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after the other, and their number up to each text's end."""
+        if self.closing is None or self.pattern.pattern != PATTERN:
+            return self.encode_pieces(column)
+        column = pc.fill_null(column, "").cast(pa.string()) if column.null_count else column.cast(pa.string())
+        ok = plain(column)
+        words, ends = cut_words(column.filter(pa.array(ok)))
+        held = words.dictionary_encode()
+        first, size = self.known.find(held.dictionary, self._in_rows)
+        index = held.indices.to_numpy(zero_copy_only=False)
+        each = size[index]
+        pool, ends = self.known.pool[span_index(first[index], each)], np.concatenate([[0], np.cumsum(each)])[ends]
+        if ok.all():
+            return pool, ends
+        others, other_ends = self.encode_pieces(column.filter(pa.array(~ok)))
+        begin, length = np.zeros(len(ok), np.int64), np.zeros(len(ok), np.int64)
+        for rows, shift, stops in ((ok, 0, ends), (~ok, len(pool), other_ends)):
+            length[rows] = np.diff(stops, prepend=0)
+            begin[rows] = shift + stops - length[rows]
+        return np.concatenate([pool, others])[span_index(begin, length)], np.cumsum(length)
+
+    def encode_pieces(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.pieces:
             cut_up = Pieces(column)
-            return cut_up.expand(self.cache.all(cut_up.unique, self.by_words if self.pattern else self.library))
+            first, size = self.cache.find(cut_up.dictionary, self.by_words if self.pattern else self.library)
+            return cut_up.spans(self.cache.pool, first, size)
         ids = self.library(pc.fill_null(column, "").to_pylist())
         return np.frombuffer(b"".join(ids), np.uint32), np.cumsum([len(x) // 4 for x in ids])
 
@@ -273,7 +300,7 @@ def write_token_files(
         final = f"{root}/part-{context.partitionId():06d}.zst"
         draft = f"{final}.{context.taskAttemptId()}.draft"
         writer = out = None
-        for part in slices(batches):
+        for part in slices(batches, most=ENCODE_BYTES):
             if writer is None:
                 place.create_dir(root, recursive=True)
                 out = place.open_output_stream(draft)

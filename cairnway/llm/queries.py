@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnway.llm import (
-    bpe, exact_dedup, fingerprints, language, ngram_join, packing, prefix_trie, sharding, suffix_dedup, token_files,
+    best_fit, bpe, exact_dedup, fingerprints, language, ngram_join, packing, prefix_trie, sharding, suffix_dedup, token_files,
     toxicity, vector_codes,
 )
 from cairnway.session import cut, scratch
@@ -270,6 +270,13 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op11_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of at most 2,048 ids; the digests come from the written pieces."""
+    docs = table(spark, folder, "documents")
+    return best_fit.best_fit(docs, vocabulary("word_bpe_49k.json"), MAX_LEN, 0, {"ids_crc32": F.crc32("ids")})
+
+
 _TRIE_SQL = rf"""
 WITH {_CRC_TABLE}, turned AS (
   SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,

@@ -207,8 +207,8 @@ def _distance(t: Tables):
   q AS (SELECT 0 AS level, CAST(floor(x / 5.0) AS BIGINT) AS tx, CAST(floor(y / 5.0) AS BIGINT) AS ty, x, y, count(*) OVER (PARTITION BY floor(x / 5.0), floor(y / 5.0)) AS n FROM pts
     UNION ALL
     SELECT level + 1, CAST(floor(x / (5.0 / pow(2, level + 1))) AS BIGINT), CAST(floor(y / (5.0 / pow(2, level + 1))) AS BIGINT), x, y,
-      count(*) OVER (PARTITION BY floor(x / (5.0 / pow(2, level + 1))), floor(y / (5.0 / pow(2, level + 1)))) FROM q WHERE n > 40 AND level < 6)
-  SELECT CAST(level AS BIGINT) AS level, tx, ty, count(*) AS n, count(*) > 40 AS truncated FROM q WHERE n <= 40 OR level = 6 GROUP BY level, tx, ty""")
+      count(*) OVER (PARTITION BY floor(x / (5.0 / pow(2, level + 1))), floor(y / (5.0 / pow(2, level + 1)))) FROM q WHERE n > 40 AND level < 7)
+  SELECT CAST(level AS BIGINT) AS level, tx, ty, count(*) AS n, count(*) > 40 AS truncated FROM q WHERE n <= 40 OR level = 7 GROUP BY level, tx, ty""")
 def _dense(t: Tables):
     points = t.ways().select(F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
     return boxes.dense_tiles(points, cap=40, root_deg=5.0)

@@ -257,13 +257,13 @@ ORACLE_ONLY["v_votes"] = VOTES.replace("{m}", "v_members")
 
 
 @query("route_tier_vote", """WITH f AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY pos) AS rn, count(*) OVER (PARTITION BY route_id) AS total FROM v_votes),
-  s AS (SELECT route_id, tier, count(*) AS n FROM f WHERE rn <= 6 AND scored GROUP BY 1, 2),
-  q AS (SELECT route_id, max(total) AS total, count(*) FILTER (scored AND rn <= 6) AS k, round_even(sum(round_even(p_walking, 4)) FILTER (scored AND rn <= 6), 4) AS mw, round_even(sum(round_even(p_mountain, 4)) FILTER (scored AND rn <= 6), 4) AS mm,
-    round_even(sum(round_even(p_alpine, 4)) FILTER (scored AND rn <= 6), 4) AS ma FROM f GROUP BY 1),
+  s AS (SELECT route_id, tier, count(*) AS n FROM f WHERE rn <= 25 AND scored GROUP BY 1, 2),
+  q AS (SELECT route_id, max(total) AS total, count(*) FILTER (scored AND rn <= 25) AS k, round_even(sum(round_even(p_walking, 4)) FILTER (scored AND rn <= 25), 4) AS mw, round_even(sum(round_even(p_mountain, 4)) FILTER (scored AND rn <= 25), 4) AS mm,
+    round_even(sum(round_even(p_alpine, 4)) FILTER (scored AND rn <= 25), 4) AS ma FROM f GROUP BY 1),
   x AS (SELECT q.*, u.i, u.t, u.m, coalesce(s.n, 0) AS n FROM q, LATERAL (VALUES (0, 'walking', mw), (1, 'mountain', mm), (2, 'alpine', ma)) u(i, t, m) LEFT JOIN s ON s.route_id = q.route_id AND s.tier = u.t),
   r AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY n DESC, m DESC, i) AS pl FROM x),
   a AS (SELECT a.route_id, a.total, a.k, a.t, a.n, a.m, b.n AS n2, b.m AS m2, a.k >= 2 OR (a.k = 1 AND a.total = 1) AS ok FROM r a JOIN r b ON a.route_id = b.route_id AND a.pl = 1 AND b.pl = 2)
   SELECT route_id, total AS total_members, k AS scored_members, CASE WHEN ok THEN t END AS tier, CASE WHEN ok THEN round_even(n / k, 4) END AS agreement, CASE WHEN ok THEN round_even(m / k, 4) END AS confidence,
-    CASE WHEN ok THEN round_even(n / k, 4) < 2 / 3 END AS members_disagree, CASE WHEN ok THEN k > 1 AND n = n2 AND m = m2 END AS tied, total > 6 AS truncated FROM a""")
+    CASE WHEN ok THEN round_even(n / k, 4) < 2 / 3 END AS members_disagree, CASE WHEN ok THEN k > 1 AND n = n2 AND m = m2 END AS tied, total > 25 AS truncated FROM a""")
 def _vote(t: Tables):
     return rules.tier_vote(t.spark.sql(VOTES, m=t.members()))

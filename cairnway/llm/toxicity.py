@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cairnway.llm.common import WORD, Cache, Pieces, slices
+from cairnway.llm.common import WORD, Cache, Pieces, mix, slices
 from cairnway.llm.language import held_out
 from cairnway.llm.ngram_join import shingles
 from cairnway.session import cut
@@ -208,7 +208,7 @@ class Lexicon:
 
         A match is quoted as far as the words on both of its sides hold quote marks and its
         surroundings a reporting word."""
-        cut_up = Pieces(column)
+        cut_up = Pieces(column, all_white=True)
         seen = self.pieces(cut_up.unique)[cut_up.index]
         out = np.zeros((len(column), FEATURES))
         hits = np.flatnonzero((seen[:, 0] > 0) | (seen[:, 1] > 0))
@@ -281,7 +281,6 @@ def word_counts(sampled: DataFrame) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)))
     return (
         sampled.select("fold", "toxic", F.explode(words).alias("word"))
-        .where("length(word) between 3 and 40")
         .groupBy("fold", "word")
         .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     )
@@ -327,13 +326,47 @@ def choose_terms(counts: DataFrame, texts: tuple[int, int], most: int) -> list[t
     return out
 
 
-def _least_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The least three-word hash of each text, 0 without words."""
+#: Fixed values that make four orders of the same hashes.
+_ORDERS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least five-word hash of each text in each of four orders, 0 without words.
+
+    Texts agree in all four about as often as the fourth power of their similarity says, so
+    copies and near copies do, and texts that share a phrase do not.
+    """
     for part in slices(batches):
-        _, grams, n = shingles(part.column("text"), 3)
-        least = np.zeros(len(n), np.int64)
-        least[n > 0] = grams[(np.cumsum(n) - n)[n > 0]].view(np.int64)
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "toxic", "text")), pa.array(least)], names=["doc_id", "toxic", "text", "gram"])
+        _, grams, n = shingles(part.column("text"), 5)
+        some = n > 0
+        begin = (np.cumsum(n) - n)[some]
+        least = np.zeros((len(_ORDERS), len(n)), np.uint64)
+        if len(begin):
+            for k, order in enumerate(_ORDERS):
+                least[k, some] = np.minimum.reduceat(mix(grams ^ order), begin)
+        yield pa.RecordBatch.from_arrays(
+            [*(part.column(c) for c in ("doc_id", "toxic", "text")), *map(pa.array, least.view(np.int64))],
+            names=["doc_id", "toxic", "text", *(f"s{k}" for k in range(len(_ORDERS)))],
+        )
+
+
+def _bounded(ids: DataFrame, sizes: dict[int, int], most: int) -> DataFrame:
+    """The ``most`` ids of each label with the least hashes.
+
+    Where there are many more, a share of the hashes is cut off first, wide enough to hold them,
+    so that what is sorted is bounded by ``most`` too.
+    """
+    h = F.xxhash64("doc_id")
+    limit = F.lit((1 << 63) - 1)
+    for label, n in sizes.items():
+        if n > 2 * most:
+            limit = F.when(F.col("toxic") == label, F.lit(int(2 * most / n * (1 << 64)) - (1 << 63))).otherwise(limit)
+    least = Window.partitionBy("toxic").orderBy(h, "doc_id")
+    return ids.where(h <= limit).withColumn("k", F.row_number().over(least)).where(F.col("k") <= most).drop("k")
+
+
+def _log_odds(toxic: float, clean: float) -> float:
+    return math.log(toxic + 0.5) - math.log(clean + 0.5)
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = 12_000, terms: int = 1500) -> Model:
@@ -344,26 +377,31 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 12_000, terms: int = 1
     the others, so the logistic model sees words as new texts will show them, with a lexicon
     nearly as full as the final one, which comes from all. Bounds are parameters; all else is
     counted in Spark.
+
+    The share of toxic texts is that of all labelled ids, before copies are put together, and a
+    text without a match scores 0.5 at most. With one label only, or no term, all texts are such.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(
         F.when(F.max("toxic") >= 1, 1).otherwise(0).alias("toxic")
     ).where(~held_out("doc_id"))
-    least = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     present = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    ids = present.withColumn("k", F.row_number().over(least)).where(F.col("k") <= most).drop("k")
+    share = {r["toxic"]: r["n"] for r in present.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    prior = _log_odds(share.get(1, 0), share.get(0, 0)) if share else -4.0
+    if len(share) < 2:
+        return Model(Lexicon([]), np.append(np.zeros(5), min(prior, 0.0)))
+    ids = _bounded(present, share, most)
     texts = docs.join(F.broadcast(ids), "doc_id").groupBy(F.col("doc_id").cast("long").alias("doc_id"), "toxic").agg(
         F.coalesce(F.min("text"), F.lit("")).alias("text")
     )
-    # Of copies and near copies, which share their least three-word hash, one text is learned from.
+    # Of copies and near copies of one label, one text is learned from.
+    marks = [f"s{k}" for k in range(len(_ORDERS))]
     sampled = cut(
-        texts.mapInArrow(_least_grams, "doc_id long, toxic int, text string, gram long")
-        .groupBy("toxic", "gram")
+        texts.mapInArrow(_signatures, "doc_id long, toxic int, text string, " + ", ".join(f"{m} long" for m in marks))
+        .groupBy("toxic", *marks)
         .agg(F.min_by("text", "doc_id").alias("text"))
-        .select("toxic", "text", F.pmod("gram", F.lit(FOLDS)).cast("int").alias("fold"))
+        .select("toxic", "text", F.pmod("s0", F.lit(FOLDS)).cast("int").alias("fold"))
     )
     sizes = {(r["fold"], r["toxic"]): r["n"] for r in sampled.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return Model(Lexicon([]), np.append(np.zeros(5), -4.0))
     counts = cut(word_counts(sampled))
 
     def lexicon(left_out: int) -> Lexicon:
@@ -388,7 +426,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 12_000, terms: int = 1
 
     schema = "toxic int, " + ", ".join(f"f{k} double" for k in range(FEATURES))
     rows = np.array([tuple(r) for r in sampled.select("toxic", "fold", "text").mapInArrow(seen, schema).collect()], float)
-    return Model(final, fit_evidence(shaped(rows[:, 1:]), rows[:, 0]))
+    weights = fit_evidence(shaped(rows[:, 1:]), rows[:, 0])
+    # The sample's share of toxic texts gives way to that of all labelled ids.
+    weights[-1] = min(weights[-1] + prior - _log_odds(rows[:, 0].sum(), (1 - rows[:, 0]).sum()), 0.0)
+    return Model(final, weights)
 
 
 def score(
@@ -398,8 +439,9 @@ def score(
 
     With ``carry`` the whole row comes along as the struct ``row``, whatever its columns are.
 
-    Null and empty texts have no matches and get the score of such texts. Repeated rows are
-    scored each, a null id is kept, an empty table gives no rows.
+    Null and empty texts have no matches and get the score of such texts, which stays below every
+    threshold above 0.5. Repeated rows are scored each, a null id is kept, an empty table gives no
+    rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -159,6 +159,45 @@ def test_toxicity_edges(spark):
     assert len(toxicity.toxicity(table(spark, rows), labels.limit(0)).collect()) == 4
 
 
+def test_no_text_without_a_match_is_flagged(spark, docs):
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").select("doc_id", "toxic")
+    for only in ("toxic = 1", "toxic = 0"):
+        rows = toxicity.toxicity(docs, labels.where(only)).collect()
+        assert rows and all(r["score"] <= 0.5 and r["hits"] == 0 for r in rows)
+    # Most labelled texts are toxic, but no word marks them.
+    plain = [(i, f"word{i} other{i} more{i}", "en") for i in range(60)]
+    marks = spark.createDataFrame([(i, int(i % 6 > 0)) for i in range(60)], "doc_id long, toxic int")
+    assert all(r["score"] <= 0.5 and r["predicted"] == 0 for r in toxicity.toxicity(table(spark, plain), marks).collect())
+
+
+def test_texts_that_share_a_phrase_are_all_learned_from():
+    texts = [f"you are a rotten{i} thing number {i} of many others here" for i in range(40)]
+    copies = ["one two three four five six seven eight nine ten"] * 3
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(43)), pa.array([1] * 43), pa.array([*texts, *copies])], names=["doc_id", "toxic", "text"]
+    )
+    marks = [tuple(r[f"s{k}"] for k in range(4)) for b in toxicity._signatures([batch]) for r in b.to_pylist()]
+    assert len(set(marks[:40])) == 40 and len(set(marks[40:])) == 1
+
+
+def test_bounded_ids_are_those_of_the_least_hashes(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(6000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("toxic"))
+    got = {(r["toxic"], r["doc_id"]) for r in toxicity._bounded(ids, {0: 5400, 1: 600}, 100).collect()}
+    rows = ids.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").collect()
+    want = {(t, r["doc_id"]) for t in (0, 1) for r in [r for r in rows if r["toxic"] == t][:100]}
+    assert got == want
+
+
+def test_any_white_space_parts_words():
+    lexicon = toxicity.Lexicon([("worthless", False, 4.0)])
+    lines = ["he", "said", '"hi"', *["and"] * 30, "you", "worthless", "thing"]
+    for blank in (" ", "\n", "\t", "\r\n", "\u2003"):
+        seen = lexicon.features(pa.array([blank.join(lines), blank.join(["worthless"] * 3)]))
+        assert seen[0, 0] == 4 and seen[0, 4] == 0 and seen[1, 1] == 12 and seen[1, 5] == 3
+
+
 # -- fingerprints ----------------------------------------------------------------
 
 

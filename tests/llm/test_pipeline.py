@@ -51,7 +51,7 @@ def test_stages(spark, folder):
 
     cut = corpus_pipeline.cut_repeats(spark, frame(spark, rows), place)
     assert cut.columns == docs.columns
-    want = brute_spans([t for _, t in rows], 400)
+    want = brute_spans([t for _, t in rows], corpus_pipeline.PASSAGE_BYTES)
     assert sorted(len((r["text"] or "").replace("�", "")) for r in cut.collect()) == sorted(
         len(w[3].decode("utf-8", "ignore")) for w in want
     )

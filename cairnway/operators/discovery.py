@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from cairnway import lexicon as lx
 from cairnway import skew
 from cairnway.functions import geo, text
 from cairnway.operators import graph, scans
+from cairnway.operators.gaps import gap_tree
 
 TRAIL = [
     "trail_id", "osm_type", "osm_id", "name", "candidate_type", "priority_tier",
@@ -444,41 +444,12 @@ def pieces_of(measured: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-_GAP_SCHEMA = "feature_id long, largest_gap_km double, total_gap_km double"
-
-
-def _gap_tree(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Shortest links that would join the chains of one feature (Prim over chain distances)."""
-    chains = pdf["chain"].to_numpy()
-    names, of = np.unique(chains, return_inverse=True)
-    lon, lat = pdf["lon"].to_numpy(), pdf["lat"].to_numpy()
-    tree_gaps = []
-    best = np.full(len(names), np.inf)
-    inside = np.zeros(len(names), dtype=bool)
-    grown = of == 0
-    inside[0] = True
-    for _ in range(len(names) - 1):
-        # Only the ends of the chain added last can shorten a distance.
-        for x, y in zip(lon[grown], lat[grown]):
-            east = (lon - x) * np.cos(np.radians((lat + y) / 2)) * lx.FLAT_KM_PER_DEGREE
-            north = (lat - y) * lx.FLAT_KM_PER_DEGREE
-            np.minimum.at(best, of, np.hypot(east, north))
-        open_best = np.where(inside, np.inf, best)
-        nearest = int(open_best.argmin())
-        tree_gaps.append(open_best[nearest])
-        inside[nearest] = True
-        grown = of == nearest
-    return pd.DataFrame(
-        {"feature_id": [pdf["feature_id"].iloc[0]], "largest_gap_km": [max(tree_gaps)], "total_gap_km": [sum(tree_gaps)]}
-    )
-
-
 def continuity(pieces: DataFrame) -> DataFrame:
     """How continuous each feature is: chains, gaps between them and the main chain's share.
 
     ``pieces`` has feature_id, piece, its two ends and km. Pieces are chained by a component
-    job over ends that nearly touch; only the free ends of features with 2 to 250 chains are
-    grouped for the gap tree, and features without gaps never are.
+    job over ends that nearly touch; the free ends of features with two chains or more go to the
+    gap tree, whatever their number. More than 250 chains are always called separate pieces.
     """
     c = F.col
     ends = pieces.select(
@@ -545,7 +516,7 @@ def continuity(pieces: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("chain_count"),
         F.bround(F.max("km") / F.coalesce(F.nullif(F.sum("km"), F.lit(0.0)), F.lit(1.0)), 3).alias("share"),
     )
-    gapped = summary.where(c("chain_count").between(2, lx.MAX_MEASURED_CHAINS)).select("feature_id")
+    gapped = summary.where(c("chain_count") > 1).select("feature_id")
     marked = (
         ends.join(gapped, "feature_id", "left_semi")
         .join(labels, ["feature_id", "piece"])
@@ -553,8 +524,7 @@ def continuity(pieces: DataFrame) -> DataFrame:
     )
     marked = skew.with_group(marked, ["feature_id", "chain"], {"_free": F.count_if(c("_t").isNull())})
     usable = marked.where(c("_t").isNull() | (c("_free") == 0)).select("feature_id", "chain", "lon", "lat").distinct()
-    gaps = usable.groupBy("feature_id").applyInPandas(_gap_tree, _GAP_SCHEMA)
-    out = summary.join(gaps, "feature_id", "left")
+    out = summary.join(gap_tree(usable), "feature_id", "left")
     one = c("chain_count") == 1
     largest = F.bround("largest_gap_km", 3)
     return out.select(

@@ -266,7 +266,40 @@ def relation_pieces(t: Tables):
     return discovery.pieces_of(lines, ["feature_id", "piece"])
 
 
-@query("geometry_completeness")
+ORACLE_ONLY["v_pieces"] = """
+SELECT m.relation_id AS f, m.pos * 2 + s.part AS piece, arg_min(s.lon, s.pos) AS lon1, arg_min(s.lat, s.pos) AS lat1, arg_max(s.lon2, s.pos) AS lon2,
+  arg_max(s.lat2, s.pos) AS lat2, sum(s.km) AS km FROM v_members m JOIN v_seg_km s ON s.feature_id = m.ref WHERE m.member_type = 'W' GROUP BY ALL"""
+
+
+def _flat_sql(a: str, b: str) -> str:
+    east = f"({b}.lon - {a}.lon) * cos(radians(({a}.lat + {b}.lat) / 2)) * {lx.FLAT_KM_PER_DEGREE}"
+    return f"sqrt(pow({east}, 2) + pow(({b}.lat - {a}.lat) * {lx.FLAT_KM_PER_DEGREE}, 2))"
+
+
+@query("geometry_completeness", f"""WITH RECURSIVE ends AS MATERIALIZED (
+  SELECT f, piece, 0 AS side, lon1 AS lon, lat1 AS lat FROM v_pieces UNION ALL SELECT f, piece, 1, lon2, lat2 FROM v_pieces
+), near AS MATERIALIZED (
+  SELECT a.f, a.piece AS a, a.side, b.piece AS b FROM ends a JOIN ends b ON a.f = b.f AND a.piece <> b.piece AND {_flat_sql('a', 'b')} <= {lx.JOIN_TOLERANCE_KM}
+), reach(f, a, b) AS (
+  SELECT f, piece, piece FROM v_pieces UNION SELECT r.f, r.a, n.b FROM reach r JOIN near n ON n.f = r.f AND n.a = r.b
+), chains AS MATERIALIZED (SELECT f, a AS piece, min(b) AS chain FROM reach GROUP BY ALL),
+lengths AS (SELECT f, chain, sum(km) AS km, count(*) AS pieces FROM v_pieces JOIN chains USING (f, piece) GROUP BY ALL),
+summary AS (SELECT f, sum(pieces)::BIGINT AS parts, count(*) AS n, round_even(max(km) / coalesce(nullif(sum(km), 0), 1), 3) AS share FROM lengths GROUP BY f),
+marked AS (
+  SELECT e.*, chain, EXISTS (SELECT 1 FROM near n WHERE n.f = e.f AND n.a = e.piece AND n.side = e.side) AS held FROM ends e JOIN chains c USING (f, piece)
+), usable AS MATERIALIZED (
+  SELECT DISTINCT f, chain, lon, lat FROM (SELECT *, bool_and(held) OVER (PARTITION BY f, chain) AS closed FROM marked) WHERE closed OR NOT held
+), links AS MATERIALIZED (
+  SELECT a.f, a.chain AS a, b.chain AS b, min({_flat_sql('a', 'b')}) AS km FROM usable a JOIN usable b ON a.f = b.f AND a.chain <> b.chain GROUP BY ALL
+), grown(f, held, km) AS (
+  SELECT f, [min(chain)], NULL::DOUBLE FROM usable GROUP BY f
+  UNION ALL
+  SELECT g.f, list_append(any_value(g.held), arg_min(l.b, (l.km, l.b))), min(l.km)
+  FROM grown g JOIN links l ON l.f = g.f AND list_contains(g.held, l.a) AND NOT list_contains(g.held, l.b) GROUP BY g.f
+), gaps AS (SELECT f, round_even(max(km), 3) AS largest, round_even(sum(km), 3) AS total FROM grown GROUP BY f)
+SELECT f AS feature_id, CASE WHEN n = 1 THEN 'connected' WHEN n > {lx.MAX_MEASURED_CHAINS} OR largest > {lx.SEPARATE_GAP_KM} OR share < {lx.DOMINANT_CHAIN_SHARE} THEN 'separate_pieces' ELSE 'gaps' END AS status,
+  parts AS part_count, n AS chain_count, CASE WHEN n = 1 THEN 0 ELSE largest END AS largest_gap_km, CASE WHEN n = 1 THEN 0 ELSE total END AS total_gap_km,
+  CASE WHEN n = 1 THEN 1 ELSE share END AS main_chain_share FROM summary LEFT JOIN gaps USING (f)""")
 def _continuity(t: Tables):
     return discovery.continuity(relation_pieces(t))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnway import skew
+from cairnway import lexicon as lx
 from cairnway.functions import geo
 from cairnway.operators import terrain
 from cairnway.plans.registry import query
@@ -206,7 +207,21 @@ def _duplicates(t: Tables):
     return terrain.shared_geometry(t.spark.sql(SNAPPED, v=t.vertices()))
 
 
-@query("allocate_profile_samples")
+@query("allocate_profile_samples", f"""WITH parts AS (
+  SELECT relation_id, pos AS part_no, length_km AS km, row_number() OVER (PARTITION BY relation_id ORDER BY length_km DESC NULLS LAST, pos) AS rn
+  FROM v_members JOIN v_ways ON way_id = ref WHERE member_type = 'W'
+), shared AS (
+  SELECT relation_id, part_no, km, {lx.PROFILE_BUDGET} - count(*) OVER r AS spare, sum(coalesce(km, 0)) OVER r AS whole
+  FROM parts WHERE rn <= {lx.PROFILE_BUDGET} WINDOW r AS (PARTITION BY relation_id ORDER BY part_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), given AS (
+  SELECT *, sum(points) OVER (PARTITION BY relation_id) - {lx.PROFILE_BUDGET} AS surplus
+  FROM (SELECT *, 1 + greatest(coalesce(round_even(spare * coalesce(km, 0) / nullif(whole, 0), 0), 0), 0)::BIGINT AS points FROM shared)
+), taken AS (
+  SELECT relation_id, part_no, count(*) AS n FROM (
+    SELECT *, row_number() OVER (PARTITION BY relation_id ORDER BY level DESC, part_no) AS rk FROM (
+      SELECT relation_id, part_no, surplus, unnest(range(2, points + 1)) AS level FROM given WHERE surplus > 0)) WHERE rk <= surplus GROUP BY ALL
+)
+SELECT relation_id, part_no, km, (points - coalesce(n, 0))::BIGINT AS points FROM given LEFT JOIN taken USING (relation_id, part_no)""")
 def _allocate(t: Tables):
     """Relations take their member ways as parts."""
     members = t.members().where(F.col("member_type") == "W")

@@ -50,10 +50,13 @@ def _first(t: Tables):
     return jobs.drain(jobs.first_seen(rows, "feature_id")).select("feature_id")
 
 
-@query("stream_provider_outages")
+@query("stream_provider_outages", """SELECT window_start, provider, calls, outages, refusals, outages >= 3 AS down FROM (
+  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, provider, count(*) AS calls, count(*) FILTER (outcome = 'outage') AS outages, count(*) FILTER (outcome = 'refused') AS refusals
+  FROM v_calls GROUP BY 1, 2) WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 60 SECOND FROM events)""")
 def _outages(t: Tables):
+    """Outages and refusals per provider in windows of an hour that the watermark has closed."""
     calls = events(t).select(
-        "event_id", "ts", (F.col("user_id") % 5).alias("provider"),
+        "ts", (F.col("user_id") % 5).alias("provider"),
         F.when(F.col("event_type") == "error", "outage").when(F.col("event_type") == "signup", "refused").otherwise("ok").alias("outcome"),
     )
-    return jobs.drain(jobs.outages(calls, cooldown=3600.0))
+    return local_time(jobs.drain(jobs.outages(calls, "1 hour")), "window_start")

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cairnway.session import scratch
 
-# A provider opens after this many outages in a row, for this long.
+# Fixed value: so many outages make a provider count as down.
 OUTAGES_TO_OPEN = 3
-COOLDOWN_SECONDS = 30.0
 
 
 def follow(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
@@ -85,39 +80,18 @@ def first_seen(rows: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-_DECISIONS = "provider long, event_id long, ts timestamp, admitted boolean, failures int, open boolean"
-_STATE = "failures int, open_until double"
-
-
-def outages(calls: DataFrame, cooldown: float = COOLDOWN_SECONDS) -> DataFrame:
-    """Breaker decisions per call, in event order per provider.
+def outages(calls: DataFrame, window: str = "15 minutes", late: str = "60 seconds") -> DataFrame:
+    """Calls, outages and refusals per provider and window, and whether the outages count as down.
 
-    Three outages in a row open the breaker; after the cooldown one call probes: a success
-    closes it, an outage opens it again. A refusal is an answer, so it counts as neither. The
-    state is two numbers per provider, and a trigger reads a bounded number of files.
+    A refusal is an answer, so it is counted apart. All are partial aggregates, so a busy provider
+    is no group of rows anywhere.
     """
-
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, open_until = state.get if state.exists else (0, None)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        made = []
-        for event_id, ts, outcome in zip(rows["event_id"], rows["ts"], rows["outcome"]):
-            now = ts.timestamp()
-            if open_until is not None and now < open_until:
-                made.append((key[0], event_id, ts, False, failures, True))
-                continue
-            if open_until is not None:
-                failures, open_until = OUTAGES_TO_OPEN - 1, None
-            if outcome == "outage":
-                failures += 1
-                if failures >= OUTAGES_TO_OPEN:
-                    open_until = now + cooldown
-            elif outcome == "ok":
-                failures = 0
-            made.append((key[0], event_id, ts, True, failures, open_until is not None))
-        state.update((failures, open_until))
-        yield pd.DataFrame(made, columns=["provider", "event_id", "ts", "admitted", "failures", "open"])
-
-    return calls.groupBy("provider").applyInPandasWithState(
-        decide, _DECISIONS, _STATE, "append", GroupStateTimeout.NoTimeout
+    counted = calls.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "provider").agg(
+        F.count(F.lit(1)).alias("calls"),
+        F.count_if(F.col("outcome") == "outage").alias("outages"),
+        F.count_if(F.col("outcome") == "refused").alias("refusals"),
+    )
+    return counted.select(
+        F.col("w.start").alias("window_start"), "provider", "calls", "outages", "refusals",
+        (F.col("outages") >= OUTAGES_TO_OPEN).alias("down"),
     )

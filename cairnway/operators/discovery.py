@@ -340,26 +340,16 @@ def along_share(
     )
 
 
-def same_name_pairs(ways: DataFrame, relations: DataFrame) -> DataFrame:
-    """(feature_id, route_id) with the way's name equal to a relation name or alias."""
-    keyed = ways.select(F.col("way_id").alias("feature_id"), text.name_key("name").alias("k"))
-    spelled = F.concat(F.array("display_name"), scans.aliases(lx.ALIAS_TAGS, False))
-    names = (
-        relations.select(F.col("relation_id").alias("route_id"), F.explode(spelled).alias("_n"))
-        .select("route_id", text.name_key("_n").alias("k"))
-        .distinct()
-    )
-    return keyed.where(F.col("k") != "").join(names, "k").select("feature_id", "route_id").distinct()
+def way_keys(ways: DataFrame) -> DataFrame:
+    """(feature_id, k): the comparison form of each way's name."""
+    return ways.select(F.col("way_id").alias("feature_id"), text.name_key("name").alias("k")).where(F.col("k") != "")
 
 
-def near_pairs(pairs: DataFrame, line_cells: DataFrame, route_cells: DataFrame) -> DataFrame:
-    """Only pairs that share a grid cell can lie along each other."""
-    return (
-        pairs.join(line_cells, "feature_id")
-        .join(route_cells, ["route_id", "cx", "cy"])
-        .select("feature_id", "route_id")
-        .distinct()
-    )
+def relation_keys(relations: DataFrame) -> DataFrame:
+    """(route_id, k): the comparison forms of each relation's name and aliases."""
+    spelled = F.concat(F.array("display_name"), scans.aliases(lx.ALIAS_TAGS, False))
+    named = relations.select(F.col("relation_id").alias("route_id"), F.explode(spelled).alias("_n"))
+    return named.select("route_id", text.name_key("_n").alias("k")).where(F.col("k") != "").distinct()
 
 
 def collapse(trails: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cairnway import lexicon as lx
 from cairnway import skew
 from cairnway.functions import geo
-from cairnway.operators import boxes, discovery, evidence, graph, scans
+from cairnway.operators import adaptive, boxes, discovery, evidence, graph, scans
 from cairnway.plans.p01_scans import RELATIONS
 from cairnway.plans.p02_boxes import key_sql, place_boxes, scored_ways
 from cairnway.plans.p03_terrain import rounded
@@ -209,18 +209,13 @@ def route_segments(t: Tables):
     return ways.join(t.segments(), "feature_id").drop("feature_id", "elevation_m", "elevation2")
 
 
-def _cells(df, key: str):
-    cell = 0.05
-    return df.select(key, F.explode(geo.cells_of_span(F.least("lon", "lon2"), F.greatest("lon", "lon2"), cell)).alias("cx"), "lat", "lat2").select(
-        key, "cx", F.explode(geo.cells_of_span(F.least("lat", "lat2"), F.greatest("lat", "lat2"), cell)).alias("cy")
-    ).distinct()
-
-
 def along(t: Tables):
-    ways = scored_ways(t).where("accepted")
-    named = discovery.same_name_pairs(ways, scans.route_relations(t.relations()))
+    """How much of each way lies along a route of its name."""
     lines, routes = t.segments(), route_segments(t)
-    close = discovery.near_pairs(named, _cells(lines, "feature_id"), _cells(routes, "route_id"))
+    ways, relations = discovery.way_keys(scored_ways(t).where("accepted")), discovery.relation_keys(scans.route_relations(t.relations()))
+    close = adaptive.meeting_pairs(
+        lines.join(ways, "feature_id"), routes.join(relations, "route_id"), "feature_id", "route_id", lx.ALONG_TOLERANCE_DEG, ["k"]
+    )
     return discovery.along_share(lines, routes, close)
 
 
@@ -414,8 +409,7 @@ def _recall(t: Tables):
     missing = reference.join(returned, "way_id", "left_anti").join(members, "way_id", "left_anti")
     lines = t.segments().join(missing.select(F.col("way_id").alias("feature_id")), "feature_id", "left_semi")
     on_route = route_segments(t)
-    line_cells, route_cells = _cells(lines, "feature_id"), _cells(on_route, "route_id")
-    close = line_cells.join(route_cells, ["cx", "cy"]).select("feature_id", "route_id").distinct()
+    close = adaptive.meeting_pairs(lines, on_route, "feature_id", "route_id", lx.ALONG_TOLERANCE_DEG)
     covered = discovery.along_share(lines, on_route, close).where(F.col("share") >= lx.ALONG_SHARE).select(F.col("feature_id").alias("way_id")).distinct()
     lost = missing.join(covered, "way_id", "left_anti")
     any_name = F.coalesce(*[F.col(c) for c in lx.NAME_TAGS]).isNotNull()

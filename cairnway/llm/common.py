@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +102,7 @@ class Pieces:
         self.ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64))
         self.starts = np.concatenate([[0], self.ends[:-1]]) if len(self.ends) else self.ends
 
-    @property
+    @cached_property
     def unique(self) -> list[str]:
         return self.dictionary.to_pylist()
 

@@ -590,3 +590,32 @@ def stitched(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("feature_id").applyInPandas(
         _stitch, "feature_id long, line long, at long, piece long, reversed boolean"
     )
+
+
+def oriented(lines: DataFrame, pieces: DataFrame, points: DataFrame) -> DataFrame:
+    """``lines`` of ``stitched``, each turned round where its end lies nearer to its feature's point.
+
+    ``points`` holds (feature_id, lon, lat), one row a feature at most; without a point, or at equal
+    distance, a line stays as it is. Only the tips of a line are measured.
+    """
+    c = F.col
+    start, end = F.struct(c("lon1").alias("lon"), c("lat1").alias("lat")), F.struct(c("lon2").alias("lon"), c("lat2").alias("lat"))
+    tips = (
+        lines.join(pieces, ["feature_id", "piece"])
+        .groupBy("feature_id", "line")
+        .agg(
+            F.min_by(F.when(c("reversed"), end).otherwise(start), "at").alias("s"),
+            F.max_by(F.when(c("reversed"), start).otherwise(end), "at").alias("e"),
+            F.max("at").alias("last"),
+        )
+        .join(points.select("feature_id", c("lon").alias("plon"), c("lat").alias("plat")), "feature_id", "left")
+    )
+
+    def away(tip: str) -> Column:
+        return geo.great_circle_km(c(f"{tip}.lat"), c(f"{tip}.lon"), c("plat"), c("plon"))
+
+    turned = tips.select("feature_id", "line", "last", F.coalesce(away("e") < away("s"), F.lit(False)).alias("turn"))
+    return lines.join(turned, ["feature_id", "line"]).select(
+        "feature_id", "line", F.when(c("turn"), c("last") - c("at")).otherwise(c("at")).alias("at"), "piece",
+        (c("reversed") != c("turn")).alias("reversed"),
+    )

@@ -12,6 +12,7 @@ from cairnway.plans.p01_scans import RELATIONS
 from cairnway.plans.p02_boxes import key_sql, place_boxes, scored_ways
 from cairnway.plans.p03_terrain import rounded
 from cairnway.plans.registry import query
+from cairnway.session import cut
 from cairnway.sources.tables import Tables
 from cairnway.sources.views import ORACLE_ONLY
 
@@ -299,9 +300,38 @@ def _continuity(t: Tables):
     return discovery.continuity(relation_pieces(t))
 
 
-@query("join_connected_parts")
+@query("join_connected_parts", """WITH RECURSIVE start AS (
+  SELECT f, list({'p': piece, 's': {'x': lon1, 'y': lat1}, 'e': {'x': lon2, 'y': lat2}} ORDER BY piece) AS free FROM v_pieces GROUP BY f
+), walk(f, free, line, lo, hi, near, far, piece, slot, rev, tips) AS (
+  SELECT f, free[2:], 0, 0, 0, free[1].s, free[1].e, free[1].p, 0, false, free[1] FROM start
+  UNION ALL
+  SELECT f, list_filter(free, lambda q: q.p <> pick.p), CASE WHEN how = 'new' THEN line + 1 ELSE line END,
+    CASE how WHEN 'new' THEN 0 WHEN 'front' THEN lo - 1 ELSE lo END, CASE how WHEN 'new' THEN 0 WHEN 'back' THEN hi + 1 ELSE hi END,
+    CASE how WHEN 'new' THEN pick.s WHEN 'front' THEN CASE WHEN pick.e = near THEN pick.s ELSE pick.e END ELSE near END,
+    CASE how WHEN 'new' THEN pick.e WHEN 'back' THEN CASE WHEN pick.s = far THEN pick.e ELSE pick.s END ELSE far END,
+    pick.p, CASE how WHEN 'new' THEN 0 WHEN 'front' THEN lo - 1 ELSE hi + 1 END,
+    CASE how WHEN 'new' THEN false WHEN 'front' THEN pick.e <> near ELSE pick.s <> far END, pick
+  FROM (SELECT *, CASE WHEN touch IS NULL THEN 'new' WHEN touch.s = far OR touch.e = far THEN 'back' ELSE 'front' END AS how, coalesce(touch, free[1]) AS pick
+    FROM (SELECT *, list_filter(free, lambda q: q.s = far OR q.e = far OR q.e = near OR q.s = near)[1] AS touch FROM walk WHERE len(free) > 0))
+), placed AS (
+  SELECT f, line, piece, rev, slot - min(slot) OVER w AS slot, max(slot) OVER w - min(slot) OVER w AS last,
+    CASE WHEN rev THEN tips.e ELSE tips.s END AS a, CASE WHEN rev THEN tips.s ELSE tips.e END AS b FROM walk WINDOW w AS (PARTITION BY f, line)
+), ends AS (SELECT f, line, arg_min(a, slot) AS a, arg_max(b, slot) AS b FROM placed GROUP BY f, line),
+turned AS (
+  SELECT f, line, coalesce(pow(sin(radians(latitude - b.y) / 2), 2) + cos(radians(b.y)) * cos(radians(latitude)) * pow(sin(radians(longitude - b.x) / 2), 2)
+    < pow(sin(radians(latitude - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(latitude)) * pow(sin(radians(longitude - a.x) / 2), 2), false) AS turn
+  FROM ends LEFT JOIN v_places ON place_id = f % 10 + 1
+)
+SELECT f AS feature_id, line::BIGINT AS line, (CASE WHEN turn THEN last - slot ELSE slot END)::BIGINT AS "at", piece, rev <> turn AS reversed
+FROM placed JOIN turned USING (f, line)""")
 def _stitch(t: Tables):
-    return discovery.stitched(relation_pieces(t))
+    """Member lines joined end to end; each begins with the tip that is nearer to the relation's place."""
+    pieces = cut(relation_pieces(t))
+    points = pieces.select("feature_id").distinct().join(
+        t.places().select("place_id", F.col("longitude").alias("lon"), F.col("latitude").alias("lat")),
+        F.col("feature_id") % 10 + 1 == F.col("place_id"),
+    ).drop("place_id")
+    return discovery.oriented(cut(discovery.stitched(pieces)), pieces, points)
 
 
 @query("join_verified_members", """SELECT m.relation_id, count(*) AS members, count(w.way_id) AS found, count(*) - count(w.way_id) AS missing, count(w.sac_scale) AS graded, round(sum(w.length_km), 3) AS km

@@ -53,3 +53,25 @@ def test_tree_equals_plain(spark):
     for f, chains in made.items():
         for a, b in zip(got[f], plain_tree(chains), strict=True):
             assert math.isclose(a, b, rel_tol=1e-9), f
+
+
+def test_lines_turn_towards_their_point(spark):
+    from cairnway.operators import discovery
+
+    # Two lines of feature 1: pieces 0-2-1 (the last one reversed) and piece 3; feature 2 is a ring.
+    pieces = spark.createDataFrame(
+        [(1, 0, 7.0, 46.0, 7.1, 46.0, 1.0), (1, 1, 7.3, 46.0, 7.2, 46.0, 1.0), (1, 2, 7.1, 46.0, 7.2, 46.0, 1.0),
+         (1, 3, 9.0, 46.0, 9.1, 46.0, 1.0), (2, 0, 7.0, 46.0, 7.0, 46.0, 1.0), (3, 0, 7.0, 46.0, 7.1, 46.0, 1.0)],
+        "feature_id long, piece long, lon1 double, lat1 double, lon2 double, lat2 double, km double",
+    )
+    lines = discovery.stitched(pieces).cache()
+
+    def seen(lon, lat):
+        points = spark.createDataFrame([(1, lon, lat), (2, lon, lat)], "feature_id long, lon double, lat double")
+        rows = discovery.oriented(lines, pieces, points).collect()
+        return sorted((r["feature_id"], r["line"], r["at"], r["piece"], r["reversed"]) for r in rows)
+
+    still = [(1, 0, 0, 0, False), (1, 0, 1, 2, False), (1, 0, 2, 1, True), (1, 1, 0, 3, False), (2, 0, 0, 0, False), (3, 0, 0, 0, False)]
+    assert seen(7.0, 46.1) == still
+    assert seen(7.4, 46.0) == [(1, 0, 0, 1, False), (1, 0, 1, 2, True), (1, 0, 2, 0, True), *still[3:]]
+    assert seen(20.0, 46.0)[3] == (1, 1, 0, 3, True)

@@ -113,10 +113,11 @@ def clean_urls(results: DataFrame) -> DataFrame:
 
 
 def merge_results(results: DataFrame, cap: int) -> DataFrame:
-    """Results of all queries in query order, each page once, cut at the report's size."""
+    """For each place the results of all its queries in query order, each page once, cut at the
+    report's size."""
     order = [F.col("query_no"), F.col("rank")]
-    once = skew.top_per_group(results, ["canonical_url"], order, 1)
-    return once.orderBy(*order).limit(cap)
+    once = skew.top_per_group(results, ["place_id", "canonical_url"], order, 1)
+    return skew.top_per_group(once, ["place_id"], order, cap)
 
 
 def classify(results: DataFrame) -> DataFrame:
@@ -180,16 +181,17 @@ def names_in(results: DataFrame) -> DataFrame:
 
 
 def prefer_first(first: DataFrame, second: DataFrame, cap: int) -> DataFrame:
-    """Candidates of the first source, then those of the second with a new name, cut at a cap."""
+    """For each place the candidates of the first source, then those of the second with a new name,
+    cut at a cap."""
     both = first.withColumn("src", F.lit(0)).unionByName(second.withColumn("src", F.lit(1)))
     keyed = both.withColumn("name_key", text.name_key("name")).where(F.col("name_key") != "")
-    once = skew.top_per_group(keyed, ["name_key"], [F.col("src"), F.col("candidate_id")], 1)
+    once = skew.top_per_group(keyed, ["place_id", "name_key"], [F.col("src"), F.col("candidate_id")], 1)
     kept = once.unionByName(
         # The first source keeps its own repeats: only later sources are compared by name.
         keyed.where(F.col("src") == 0).join(once.select("candidate_id", "src"), ["candidate_id", "src"], "left_anti")
     )
-    return kept.orderBy("src", "candidate_id").limit(cap).select(
-        "candidate_id", "name", F.when(F.col("src") == 0, "model").otherwise("rules").alias("source")
+    return skew.top_per_group(kept, ["place_id"], [F.col("src"), F.col("candidate_id")], cap).select(
+        "place_id", "candidate_id", "name", F.when(F.col("src") == 0, "model").otherwise("rules").alias("source")
     )
 
 

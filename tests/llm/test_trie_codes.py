@@ -77,7 +77,7 @@ def conversations():
     return [(*r, 1, "t") for r in rows]
 
 
-@pytest.mark.parametrize(("width", "bound"), [(8, None), (3, None), (2, 5), (1, 4)])
+@pytest.mark.parametrize(("width", "bound"), [(8, None), (2, 5), (1, 4)])
 def test_trie_equals_plain(spark, width, bound):
     rows = conversations()
     random.Random(width).shuffle(rows)

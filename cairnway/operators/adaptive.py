@@ -55,7 +55,8 @@ def meeting_pairs(
         cells = rows.groupBy(*keys, "cx", "cy").agg(
             F.count(F.lit(1)).alias("n"), F.min("side").alias("least"), F.max("side").alias("most")
         ).where("least <> most").select(*keys, "cx", "cy", (F.col("n") > crowd).alias("full"))
-        kept = rows.join(cells, [*keys, "cx", "cy"])
+        # Written once: it is read for the cells that stay and for those that are cut.
+        kept = cut(rows.join(cells, [*keys, "cx", "cy"]))
         done = ~F.col("full") if level < cuts else F.lit(True)
         leaves.append(kept.where(done).select(*keys, "side", "key", F.lit(level).alias("level"), "cx", "cy").distinct())
         if level == cuts:
@@ -67,4 +68,4 @@ def meeting_pairs(
     every = reduce(DataFrame.unionByName, leaves)
     a = every.where("side = 0").drop("side").withColumnRenamed("key", left_key)
     b = every.where("side = 1").drop("side").withColumnRenamed("key", right_key)
-    return a.join(b, [*keys, "level", "cx", "cy"]).select(left_key, right_key).distinct()
+    return cut(a.join(b, [*keys, "level", "cx", "cy"]).select(left_key, right_key).distinct())

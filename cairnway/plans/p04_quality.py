@@ -310,11 +310,10 @@ def _agreement(t: Tables):
 
 @query("dedupe_first_seen", "SELECT feature_id, min(place_id) AS first_place FROM v_pairs GROUP BY 1")
 def _first_seen(t: Tables):
-    from cairnway.plans.p02_boxes import box_pairs
+    from cairnway.plans.p02_boxes import box_reach
 
-    return skew.top_per_group(box_pairs(t), ["feature_id"], [F.col("place_id")], 1).select(
-        "feature_id", F.col("place_id").alias("first_place")
-    )
+    # A search goes by the least of its places.
+    return box_reach(t).groupBy("feature_id").agg(F.min("box_id").alias("first_place"))
 
 
 GRID = "CAST(floor(longitude * 50e0) AS BIGINT) AS grid_x, CAST(floor(latitude * 50e0) AS BIGINT) AS grid_y"

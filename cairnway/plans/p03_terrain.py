@@ -18,7 +18,7 @@ def rounded(df, *columns: str, digits: int = 6):
 
 
 def profile(t: Tables):
-    return terrain.profile(t.vertices())
+    return terrain.profile(t.vertices(), t.line_width())
 
 
 @query("cumulative_distance", """SELECT feature_id, part, pos, round(component_km, 6) AS component_km, round(distance_km, 6) AS distance_km FROM v_profile""")
@@ -41,7 +41,7 @@ SELECT feature_id, sum(coalesce(abs(turn), 0)) / count(*) AS mean_turn, count(*)
 
 @query("route_shape", "SELECT feature_id, round(mean_turn, 6) AS mean_turn, round(verts_per_km, 6) AS verts_per_km FROM v_shape")
 def _shape(t: Tables):
-    return rounded(terrain.route_shape(t.vertices()), "mean_turn", "verts_per_km")
+    return rounded(terrain.route_shape(t.vertices(), t.line_width()), "mean_turn", "verts_per_km")
 
 
 ORACLE_ONLY["v_measures"] = """
@@ -59,7 +59,7 @@ ON m.feature_id = p.feature_id AND m.part = p.main_part"""
 @query("route_measures", """SELECT feature_id, round(km, 6) AS km, part_count, point_count, round(west, 6) AS west, round(south, 6) AS south, round(east, 6) AS east,
   round(north, 6) AS north, main_part, round(main_km, 6) AS main_km, round(middle_lon, 5) AS middle_lon, round(middle_lat, 5) AS middle_lat FROM v_measures""")
 def _measures(t: Tables):
-    out = terrain.route_measures(t.measured_segments())
+    out = terrain.route_measures(t.measured_segments(), t.line_width())
     out = rounded(out, "km", "west", "south", "east", "north", "main_km")
     return rounded(out, "middle_lon", "middle_lat", digits=5)
 
@@ -90,7 +90,7 @@ DISPLAY = ["min_m", "max_m", "range_m", "gain_m", "loss_m", "average_slope_pct",
 
 @query("terrain_metrics_display", "SELECT feature_id, " + ", ".join(f"round({c}, 4) AS {c}" for c in DISPLAY) + " FROM v_display")
 def _display(t: Tables):
-    return rounded(terrain.display_terrain(profile(t)), *DISPLAY, digits=4)
+    return rounded(terrain.display_terrain(profile(t), t.line_width()), *DISPLAY, digits=4)
 
 
 ORACLE_ONLY["v_samples90"] = """
@@ -115,7 +115,7 @@ TERRAIN = ["elevation_gain_m", "elevation_loss_m", "elevation_range_m", "average
   round(max(height), 4) AS high_m FROM v_samples90 GROUP BY 1, 2""")
 def _resample(t: Tables):
     """Every sample is produced; the result keeps one row per part so it stays readable."""
-    return terrain.resample(profile(t)).groupBy("feature_id", "part").agg(
+    return terrain.resample(profile(t), t.line_width()).groupBy("feature_id", "part").agg(
         F.count(F.lit(1)).alias("samples"),
         F.max("sample").alias("last_sample"),
         F.round(F.avg("height_m"), 4).alias("mean_m"),
@@ -126,7 +126,7 @@ def _resample(t: Tables):
 
 @query("terrain_metrics_model", "SELECT feature_id, " + ", ".join(f"round({c}, 3) AS {c}" for c in TERRAIN) + " FROM v_terrain")
 def _terrain(t: Tables):
-    out = terrain.model_terrain(profile(t)).drop("terrain_available")
+    out = terrain.model_terrain(profile(t), t.line_width()).drop("terrain_available")
     return rounded(out, *TERRAIN, digits=3)
 
 
@@ -138,7 +138,7 @@ def _terrain(t: Tables):
   y AS (SELECT *, CASE WHEN deg > 0 THEN greatest(0, least(1, (tot * k / (c - 1) - upto + deg) / deg)) ELSE 0 END AS f FROM x)
   SELECT feature_id, part, count(*) AS samples, round(avg(lon + (lon2 - lon) * f), 6) AS mean_lon, round(avg(lat + (lat2 - lat) * f), 6) AS mean_lat FROM y GROUP BY 1, 2""")
 def _along(t: Tables):
-    return terrain.sample_along(t.measured_segments()).groupBy("feature_id", "part").agg(
+    return terrain.sample_along(t.measured_segments(), t.line_width()).groupBy("feature_id", "part").agg(
         F.count(F.lit(1)).alias("samples"),
         F.round(F.avg("lon"), 6).alias("mean_lon"),
         F.round(F.avg("lat"), 6).alias("mean_lat"),
@@ -175,7 +175,7 @@ FROM f a WHERE a.home = a.no"""
 
 @query("pick_route_points", "SELECT feature_id, sample_no, labels, round(lat, 6) AS lat, round(lon, 6) AS lon, round(elevation_m, 2) AS elevation_m FROM v_route_points")
 def _points(t: Tables):
-    return rounded(rounded(terrain.route_points(profile(t)), "lat", "lon"), "elevation_m", digits=2)
+    return rounded(rounded(terrain.route_points(profile(t), t.line_width()), "lat", "lon"), "elevation_m", digits=2)
 
 
 CHANGED = """SELECT feature_id, part, pos, CASE WHEN feature_id % 13 = 0 AND pos = 1 THEN lon + 0.001 ELSE lon END AS lon, lat
@@ -191,7 +191,7 @@ def _drift(t: Tables):
     stored = t.vertices().where(F.col("feature_id") % 17 != 0)
     current = t.spark.sql(CHANGED, v=t.vertices())
     # The current snapshot is drawn in the other direction for some features; that is no drift.
-    turned = skew.with_group(current, ["feature_id", "part"], {"_n": F.count(F.lit(1))}).withColumn(
+    turned = skew.with_group(current, ["feature_id", "part"], {"_n": F.count(F.lit(1))}, width=t.line_width()).withColumn(
         "pos", F.when(F.col("feature_id") % 11 == 0, F.col("_n") - F.col("pos") + 1).otherwise(F.col("pos"))
     )
     return terrain.drift(stored, turned.drop("_n"))

@@ -137,7 +137,7 @@ FROM (SELECT f.feature_id, CASE WHEN length_km > 0 THEN length_km ELSE 0.05 END
 
 
 def with_terrain(t: Tables):
-    rough = terrain.model_terrain(terrain.profile(t.vertices()))
+    rough = terrain.model_terrain(terrain.profile(t.vertices(), t.line_width()), t.line_width())
     return t.sample().join(rough, "feature_id", "left").na.fill(0.0, ["terrain_available"])
 
 
@@ -302,9 +302,10 @@ AGREE = {"range": ("elevation_range_m", "range_m"), "gain": ("elevation_gain_m",
     f"SELECT '{q}' AS quantity, count(*) FILTER (a.{a} IS NOT NULL AND b.{b} IS NOT NULL) AS n, round(corr(a.{a}, b.{b}), 6) AS r FROM v_terrain a JOIN v_display b USING (feature_id)"
     for q, (a, b) in AGREE.items()))
 def _agreement(t: Tables):
-    profiled = terrain.profile(t.vertices())
-    a = terrain.model_terrain(profiled).select("feature_id", *[F.col(x).alias(f"a_{q}") for q, (x, _) in AGREE.items()])
-    b = terrain.display_terrain(profiled).select("feature_id", *[F.col(y).alias(f"b_{q}") for q, (_, y) in AGREE.items()])
+    width = t.line_width()
+    profiled = terrain.profile(t.vertices(), width)
+    a = terrain.model_terrain(profiled, width).select("feature_id", *[F.col(x).alias(f"a_{q}") for q, (x, _) in AGREE.items()])
+    b = terrain.display_terrain(profiled, width).select("feature_id", *[F.col(y).alias(f"b_{q}") for q, (_, y) in AGREE.items()])
     return rounded(quality.agreement(a.join(b, "feature_id"), list(AGREE)), "r")
 
 

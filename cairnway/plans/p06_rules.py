@@ -58,7 +58,7 @@ def _rolling(t: Tables):
   FROM (SELECT feature_id, sum(km) AS km FROM v_seg_km GROUP BY 1) m LEFT JOIN v_terrain USING (feature_id)""")
 def _walk(t: Tables):
     length = t.measured_segments().groupBy("feature_id").agg(F.sum("km").alias("km"))
-    climb = terrain.model_terrain(profile(t)).select("feature_id", "elevation_gain_m")
+    climb = terrain.model_terrain(profile(t), t.line_width()).select("feature_id", "elevation_gain_m")
     hours = weather.walking_hours(F.col("km"), F.col("elevation_gain_m"))
     return rounded(length.join(climb, "feature_id", "left").select("feature_id", hours.alias("hours")), "hours", digits=4)
 
@@ -87,7 +87,7 @@ WORST = ["temperature", "wind_speed", "precipitation", "highest_m", "min_tempera
 
 
 def worst(t: Tables):
-    points = terrain.route_points(profile(t)).withColumn("point_id", (F.col("feature_id") * 5 + F.col("sample_no")) % 20)
+    points = terrain.route_points(profile(t), t.line_width()).withColumn("point_id", (F.col("feature_id") * 5 + F.col("sample_no")) % 20)
     hours = current_hours(t)
     window = weather.window_summary(t.hourly(), hours).drop("window_hours")
     here = hours.select("point_id", F.col("hour").alias("ts")).join(t.hourly(), ["point_id", "ts"], "left").select(

@@ -169,7 +169,7 @@ def passages(assessed: DataFrame, gear: DataFrame) -> DataFrame:
         ready = F.lit(True)
         for value in values:
             ready = ready & c(value).isNotNull()
-        body = F.format_string(pattern, *[c(v) for v in values]) if values else F.lit(pattern)
+        body = text.filled(pattern, *[c(v) for v in values])
         return F.when(
             ready,
             F.struct(F.lit(topic).alias("topic"), body.alias("text"), F.lit(source).alias("source"), F.lit(boost).alias("boost")),

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnway import lexicon as lx
+from cairnway import skew
 from cairnway.functions import geo
 from cairnway.operators import graph
 from cairnway.session import cut
@@ -18,6 +22,9 @@ from cairnway.session import cut
 FIRST_KM, STEP = 0.1, 16
 #: Cells are looked at in so many strips each way before their points are.
 STRIPS = 8
+#: Pieces of a feature whose ends one task compares pair by pair, and pairs it looks at together.
+FEW_PIECES, PAIRS = 500, 1 << 20
+FEW = "feature_id long, part_count long, chain_count long, longest_km double, km double, largest_gap_km double, total_gap_km double"
 
 
 def _celled(points: DataFrame, km: float) -> DataFrame:
@@ -145,3 +152,75 @@ def gap_tree(points: DataFrame, first_km: float = FIRST_KM) -> DataFrame:
     return forest(reduce(DataFrame.unionByName, found)).groupBy("feature_id").agg(
         F.max("km").alias("largest_gap_km"), F.sum("km").alias("total_gap_km")
     )
+
+
+def _merged(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of ``n`` nodes that each is linked to by the links (a, b)."""
+    label = np.arange(n)
+    while (label[a] != label[b]).any():
+        low = np.minimum(label[a], label[b])
+        for end in (label[a], label[b]):
+            np.minimum.at(label, end, low)
+        while (label != label[label]).any():
+            label = label[label]
+    return label
+
+
+def _tree(n: int, a: np.ndarray, b: np.ndarray, km: np.ndarray) -> np.ndarray:
+    """Which links (a, b, km) a least spanning forest takes; ``forest`` for links in one task."""
+    order = np.lexsort((b, a, km))
+    label, taken = np.arange(n), np.zeros(len(km), bool)
+    while len(order := order[label[a[order]] != label[b[order]]]):
+        best = np.full(n, len(order))
+        for end in (a, b):
+            np.minimum.at(best, label[end[order]], np.arange(len(order)))
+        taken[order[np.unique(best[best < len(order)])]] = True
+        label = _merged(n, a[taken], b[taken])
+    return taken
+
+
+def _measured(rows: pa.Table) -> list[np.ndarray]:
+    """The columns of ``FEW`` for whole features, sorted by feature."""
+    names, feature, counts = np.unique(rows["feature_id"].to_numpy(), return_inverse=True, return_counts=True)
+    n = rows.num_rows
+    # Ends 2i and 2i + 1 belong to piece i; each end meets the later ones of its feature.
+    lon, lat = (np.column_stack([rows[f"{c}{i}"].to_numpy() for i in (1, 2)]).ravel() for c in ("lon", "lat"))
+    later = np.repeat(2 * np.cumsum(counts)[feature], 2) - np.arange(2 * n) - 1
+    a = np.repeat(np.arange(2 * n), later)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+    east = (lon[b] - lon[a]) * np.cos(np.radians((lat[a] + lat[b]) / 2)) * lx.FLAT_KM_PER_DEGREE
+    apart = np.sqrt(east**2 + ((lat[b] - lat[a]) * lx.FLAT_KM_PER_DEGREE) ** 2)
+    near = (apart <= lx.JOIN_TOLERANCE_KM) & (a // 2 != b // 2)
+    chain = _merged(n, a[near] // 2, b[near] // 2)
+    held = np.zeros(2 * n, bool)
+    held[a[near]] = held[b[near]] = True
+    ends = np.repeat(chain, 2)
+    closed = np.bincount(ends, ~held, n) == 0
+    usable = (~held | closed[ends]) & (np.abs(lon) + np.abs(lat) < 1e9)
+    link = usable[a] & usable[b] & (ends[a] != ends[b])
+    x, y, gap = ends[a[link]], ends[b[link]], apart[link]
+    taken = _tree(n, x, y, gap)
+    home, gap = feature[x[taken]], gap[taken]
+    largest, longest = np.zeros(len(names)), np.zeros(len(names))
+    np.maximum.at(largest, home, gap)
+    km, roots = rows["km"].to_numpy(), np.flatnonzero(chain == np.arange(n))
+    np.maximum.at(longest, feature[roots], np.bincount(chain, km, n)[roots])
+    found = np.bincount(home, minlength=len(names)) > 0
+    # Without any link the sums would be whole numbers.
+    total = np.bincount(home, gap, len(names)).astype(float)
+    return [
+        names, counts, np.bincount(feature[roots], minlength=len(names)), longest, np.bincount(feature, km, len(names)),
+        pa.array(largest, mask=~found), pa.array(total, mask=~found),
+    ]
+
+
+def few_measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``FEW`` from pieces sorted by feature: chains, their lengths and the gap tree between them."""
+    columns = [c.split()[0] for c in FEW.split(", ")]
+    for table in skew.whole_groups(batches, "feature_id"):
+        keys = table["feature_id"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        pairs = np.cumsum((2 * np.diff(np.r_[starts, len(keys)])) ** 2 // 2)
+        parts = starts[np.r_[True, np.diff(pairs // PAIRS) > 0]]
+        for start, stop in zip(parts, np.r_[parts[1:], len(keys)], strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in _measured(table.slice(start, stop - start))], columns)

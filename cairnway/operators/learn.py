@@ -25,6 +25,7 @@ from cairnway.session import cut, stored
 
 CONTRACT = "trail-tier-features-v1"
 RARE = "<RARE>"
+KEPT = ["contract", "model_name", "classes", "class_index", "numbers", "levels", "metrics", "majority_baseline_metrics"]
 # How many rows a level needs, what is searched, what is dropped in turn.
 LEVEL_ROWS = 5
 SENT_LEVELS = 100_000
@@ -223,16 +224,45 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.withColumn("coverage", F.round(covered, 4))
 
 
-def save(model: PipelineModel, path: str, spark) -> None:
-    """Model files and one metadata row beside them."""
+def majority(rows: DataFrame, prior: DataFrame, weight: Column) -> DataFrame:
+    """Metrics of always saying the tier that is most common in nature."""
+    lead = F.broadcast(prior.agg(F.max_by("tier", "share").alias("prediction")))
+    return quality.weighted_metrics(rows.join(lead).select(F.col("tier").alias("label"), "prediction", weight.alias("weight")))
+
+
+def report(model: DataFrame, baseline: DataFrame, prior: DataFrame, trained_rows: int) -> dict:
+    """What is kept beside a model: its figures, the majority's, whether they are beaten, and what it was trained on."""
+    figures = lambda found: {f"{r['metric']} {r['tier']}": r["value"] for r in found.collect()}
+    a, b = figures(model), figures(baseline)
+    return {
+        "metrics": a,
+        "majority_baseline_metrics": b,
+        "usefulness_gate_passed": all((a[m] or 0.0) > (b[m] or 0.0) for m in ("accuracy all", "macro_f1 all")),
+        "natural_tier_distribution": {r["tier"]: r["share"] for r in prior.collect()},
+        "trained_rows": trained_rows,
+    }
+
+
+def save(model: PipelineModel, path: str, spark, kind: str, found: dict) -> None:
+    """Model files and one metadata row beside them: what it serves, what it needs and how it did."""
     model.write().overwrite().save(f"{path}/model")
-    document = json.dumps({"contract": CONTRACT, "classes": lx.TIERS, "numbers": NUMBERS, "levels": lx.CATEGORICAL})
+    document = json.dumps({
+        "contract": CONTRACT, "model_name": f"{kind}_difficulty_tier", "classes": lx.TIERS,
+        "class_index": {tier: i for i, tier in enumerate(lx.TIERS)}, "numbers": NUMBERS, "levels": lx.CATEGORICAL, **found,
+    })
     spark.createDataFrame([(document,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/contract")
 
 
-def load(path: str, spark) -> PipelineModel:
-    """Refuses a model made for other classes or another feature contract."""
+def load(path: str, spark) -> tuple[PipelineModel, dict]:
+    """The model and its metadata; refuses one made for other classes, features or another contract, or without its figures."""
     found = json.loads(spark.read.text(f"{path}/contract").first()["value"])
+    absent = [key for key in KEPT if key not in found]
+    if absent:
+        raise ValueError(f"model lacks {absent}")
     if found["contract"] != CONTRACT or found["classes"] != lx.TIERS:
         raise ValueError(f"model was made for {found['contract']} / {found['classes']}")
-    return PipelineModel.load(f"{path}/model")
+    if found["class_index"] != {tier: i for i, tier in enumerate(lx.TIERS)}:
+        raise ValueError(f"model numbers its classes otherwise: {found['class_index']}")
+    if found["numbers"] != NUMBERS or found["levels"] != lx.CATEGORICAL:
+        raise ValueError(f"model was made for the features {found['numbers']} / {found['levels']}")
+    return PipelineModel.load(f"{path}/model"), found
